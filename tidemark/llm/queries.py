@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, mixing, packing, pii, quality, simhash, suffix_tree_lm, toxicity
+from tidemark.llm import ann, chat, mixing, packing, pii, quality, repeats, simhash, suffix_tree_lm, toxicity
 from tidemark.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_trap(read(spark, sf_dir, "conversations"))))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove(read(spark, sf_dir, "documents")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.judge(read(spark, sf_dir, "documents")).select(*columns)
@@ -56,6 +60,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_suffix_tree_lm, op4_chat, op6_quality, op7_packing, op8_mixing, op9_pii, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_suffix_tree_lm, op4_chat, op5_repeats, op6_quality, op7_packing, op8_mixing, op9_pii, op10_toxicity, pipeline)}
 
 ORACLE_SQL = {"op4_chat": chat.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL}
