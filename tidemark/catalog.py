@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.operators import matching, templates, tool_queries
+
+QUERIES = {**tool_queries.QUERIES, **templates.TEMPLATES, **matching.QUERIES}
+ORACLE_SQL = {**tool_queries.ORACLE_SQL, **templates.ORACLE_SQL, **matching.ORACLE_SQL}
