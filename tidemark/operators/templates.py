@@ -122,7 +122,7 @@ _BASE = (("images", "label"), ("facts",))
 _PAIR = (("images", "label"), ("facts", "nearest"))
 _PX = "round(sqrt(cast(d4 as double)) / 2, 1)"
 _STATS = (("images", "label"), ("facts", "stats"))
-_JOIN = "left join wide on wide.vec_id = facts.image_id % 500"
+_JOIN = "left join wide on wide.vec_id = facts.image_id % (select count(*) from embeddings)"
 _NEAR = "left join nearest using (image_id)"
 
 ORACLE_SQL = {

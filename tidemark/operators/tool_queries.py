@@ -194,7 +194,7 @@ def background_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.pixel_stats(table(spark, sf_dir, "embeddings")).select("vec_id", "region", "noise")
 
 
-@query(f"{BOTH}{with_tools('facts', 'nearest', 'stats')} select facts.image_id, scene, n_boxes, n_long, n_edge, max_side, d4, brightness_full, noise_full from facts left join nearest using (image_id) left join wide on vec_id = facts.image_id % 500")
+@query(f"{BOTH}{with_tools('facts', 'nearest', 'stats')} select facts.image_id, scene, n_boxes, n_long, n_edge, max_side, d4, brightness_full, noise_full from facts left join nearest using (image_id) left join wide on vec_id = facts.image_id % (select count(*) from embeddings)")
 def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = E.labels(spark, sf_dir)
     wide = tools.with_stats(tools.facts(E.images(spark, sf_dir), labels), table(spark, sf_dir, "embeddings"))

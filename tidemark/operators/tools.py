@@ -10,8 +10,8 @@ from tidemark.functions import geometry as G
 
 #: Boxes of at least this long side count as long.
 LONG = 45
-#: Pixel images stand in the embeddings: 8 x 8, one for each remainder of the image id.
-PIXEL_IMAGES, SIDE = 500, 8
+#: Pixel images stand in the embeddings, 8 x 8 each; images share them in turn.
+SIDE = 8
 
 
 def facts(images: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def neighbours(boxes: DataFrame) -> DataFrame:
 def pixels(embeddings: DataFrame) -> DataFrame:
     """vec_id, row, col, p, masked: the 64 pixels of each image; the mask is the label box of two by two."""
     level = F.least(F.greatest(F.floor((F.col("v").cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")
-    each = embeddings.where(F.col("vec_id") < PIXEL_IMAGES).select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    each = embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v"))
     row, col = F.floor(F.col("i") / SIDE).cast("int"), (F.col("i") % SIDE).cast("int")
     dx, dy = col - F.col("vec_id") % 6, row - F.col("vec_id") % 5
     return each.select("vec_id", row.alias("row"), col.alias("col"), level.alias("p"), (dx.between(0, 1) & dy.between(0, 1)).alias("masked"))
@@ -84,8 +84,8 @@ def stats_by_quadrant(embeddings: DataFrame) -> DataFrame:
 
 
 def with_stats(images: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """images with the statistics of their pixel image; the statistics have PIXEL_IMAGES rows, so they are broadcast."""
-    return images.withColumn("vec_id", F.col("image_id") % PIXEL_IMAGES).join(F.broadcast(stats_by_quadrant(embeddings)), "vec_id", "left").drop("vec_id")
+    """images with the statistics of their pixel image: the one whose number is the image's modulo their count."""
+    return images.withColumn("vec_id", F.col("image_id") % max(1, embeddings.count())).join(stats_by_quadrant(embeddings), "vec_id", "left").drop("vec_id")
 
 
 def first_largest(columns: list[tuple[str, str]]):
@@ -114,7 +114,7 @@ facts as (select image_id, scene, scene_group, split, {", ".join(f"coalesce({c},
     "neighbours": """neighbours as (select image_id, n, other, d4 from (select *, row_number() over (partition by image_id, n order by d4, other) as r
   from (select image_id, na as n, nb as other, d4 from pairs union all select image_id, nb, na, d4 from pairs)) where r = 1)""",
     "stats": """pix as (select vec_id, (i - 1) // 8 as r, (i - 1) % 8 as c, cast(least(greatest(floor((cast(embedding[i] as double) + 1) * 127.5), 0), 255) as bigint) as p
-  from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings where vec_id < 500)),
+  from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)),
 stats as (select vec_id, region, floor(sum(p) / count(*) * 100 + 0.5) / 100.0 as brightness,
   case when count(f) > 0 then floor(sqrt(cast(count(f) * sum(f * f) - sum(f) * sum(f) as double)) / count(f) * 100 + 0.5) / 100.0 end as noise
   from (select vec_id, p, case when not (c - vec_id % 6 between 0 and 1 and r - vec_id % 5 between 0 and 1) then p end as f,
