@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.operators import matching, perturb, runs, templates, tool_queries
+from tidemark.operators import data_prep, matching, perturb, runs, statistics, templates, tool_queries
 
-QUERIES = {**tool_queries.QUERIES, **templates.TEMPLATES, **matching.QUERIES, **perturb.QUERIES, **runs.QUERIES}
-ORACLE_SQL = {**tool_queries.ORACLE_SQL, **templates.ORACLE_SQL, **matching.ORACLE_SQL, **perturb.ORACLE_SQL, **runs.ORACLE_SQL}
+QUERIES = {**tool_queries.QUERIES, **templates.TEMPLATES, **matching.QUERIES, **perturb.QUERIES, **runs.QUERIES, **data_prep.QUERIES, **statistics.QUERIES}
+ORACLE_SQL = {**tool_queries.ORACLE_SQL, **templates.ORACLE_SQL, **matching.ORACLE_SQL, **perturb.ORACLE_SQL, **runs.ORACLE_SQL, **data_prep.ORACLE_SQL, **statistics.ORACLE_SQL}

@@ -55,17 +55,18 @@ _CONDS = "conds as (select * from (values " + ", ".join(str(c) for c in CONDITIO
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, input, n: the boxes of every image on every input; images without boxes have 0."""
-    parts = {
-        "label": E.labels(spark, sf_dir),
-        "detected": E.detections(spark, sf_dir),
-        "injected": perturb.injected_miss(spark, sf_dir),
-        **{k: perturb.corrected(spark, sf_dir, k) for k in ("miss", "fp", "loc")},
-    }
+    dets, labels = E.detections(spark, sf_dir), E.labels(spark, sf_dir)
+    pairs = matching.matched(spark, sf_dir)
+    parts = {"label": labels, "detected": dets, "injected": perturb.injected_miss(spark, sf_dir), "pair": pairs}
     union = None
     for s, df in parts.items():
-        one = df.groupBy("image_id").agg(F.count("*").alias("n")).withColumn("input", F.lit(s))
+        one = df.select("image_id", F.lit(s).alias("input"))
         union = one if union is None else union.unionByName(one)
-    return union
+    per = union.groupBy("image_id").agg(*(F.count_if(F.col("input") == s).alias(s) for s in parts))
+    # what a correction adds or drops follows from the number of pairs, so no corrected boxes are made here
+    columns = {"label": F.col("label"), "detected": F.col("detected"), "injected": F.col("injected"), "miss": F.expr("detected + label - pair"), "fp": F.col("pair"), "loc": F.col("detected")}
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("input"), c.alias("n")) for s, c in columns.items()))).alias("x")
+    return per.select("image_id", each).select("image_id", "x.input", "x.n")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
