@@ -228,3 +228,20 @@ def reference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = union.groupBy("image_id").agg(*(F.count_if(F.col("source") == s).alias(f"n_{s}") for s in _SOURCES))
     whole = E.images(spark, sf_dir).select("image_id").join(counts, "image_id", "left").fillna(0)
     return whole.withColumn("answer_changed", F.col("n_detected") != F.col("n_label"))
+
+
+@query(f"{_RATES} select size, scene, count(*) as n, cast(sum(dx) as bigint) as dx, cast(sum(dy) as bigint) as dy from (select s.size, s.scene, d.x1 - s.x1 as dx, d.y1 - s.y1 as dy from judged s join matched m on m.image_id = s.image_id and m.l = s.n join detected d on d.image_id = m.image_id and d.n = m.d where m.iou < 0.75) group by all")
+def calibration_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts of poorly placed detections by stratum, added up."""
+    pairs = matching.matched(spark, sf_dir).where(F.col("iou") < matching.GOOD).select("image_id", F.col("l").alias("n"), "d")
+    dets = E.detections(spark, sf_dir).select("image_id", F.col("n").alias("d"), F.col("x1").alias("dx1"), F.col("y1").alias("dy1"))
+    both = stratified(spark, sf_dir).join(pairs, ["image_id", "n"]).join(dets, ["image_id", "d"])
+    return both.groupBy("size", "scene").agg(F.count("*").alias("n"), F.sum(F.col("dx1") - F.col("x1")).alias("dx"), F.sum(F.col("dy1") - F.col("y1")).alias("dy"))
+
+
+@query(f"{_WITH}, fixed as ({_FIX_ALL}), signs as (select image_id, x1, y1, x2, y2, sum(s) as s from (select *, 1 as s from fixed union all select image_id, x1, y1, x2, y2, -1 from label) group by all) select image_id, cast(sum(s) filter (s > 0) as bigint) as more, cast(-sum(s) filter (s < 0) as bigint) as less from signs where s <> 0 group by image_id")
+def residual_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What still differs from the labels once all kinds are mended, by image."""
+    signs = correct_all(spark, sf_dir).withColumn("s", F.lit(1)).unionByName(E.labels(spark, sf_dir).select("image_id", *CORNERS, F.lit(-1).alias("s")))
+    left = signs.groupBy("image_id", *CORNERS).agg(F.sum("s").alias("s")).where("s <> 0")
+    return left.groupBy("image_id").agg(F.sum(F.when(F.col("s") > 0, F.col("s"))).alias("more"), (-F.sum(F.when(F.col("s") < 0, F.col("s")))).alias("less"))

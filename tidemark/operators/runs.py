@@ -313,3 +313,31 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps = draws.select("b", pick.alias("k")).join(F.broadcast(st.select("k", "n", "c")), "k").groupBy("b").agg((F.sum("c") / F.sum("n")).alias("r"))
     cut = lambda p: F.floor(F.percentile("r", F.lit(p)) * 1000000 + 0.5) / 1000000.0
     return reps.agg(cut(0.025).alias("low"), cut(0.975).alias("high"), F.count("*").alias("replicates"))
+
+
+@query(f"{_GRADED} select method, input, floor(10000 * count(*) filter (cell = 'correct') / count(*) + 0.5) / 100.0 as correct, floor(10000 * count(*) filter (cell = 'input_only') / count(*) + 0.5) / 100.0 as input_only, floor(10000 * count(*) filter (cell = 'agent_only') / count(*) + 0.5) / 100.0 as agent_only, floor(10000 * count(*) filter (cell = 'both') / count(*) + 0.5) / 100.0 as \"both\" from graded group by method, input")
+def figure_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the cells in per cent, what a stacked bar is drawn from."""
+    share = lambda c: G.floor2(100 * F.count_if(F.col("cell") == c) / F.count("*")).alias(c)
+    return graded(spark, sf_dir).groupBy("method", "input").agg(*(share(c) for c in ("correct", "input_only", "agent_only", "both")))
+
+
+@query(f"{_GRADED} select 'cells add up to the runs' as rule, cast((select count(*) from graded) - (select sum(n) from (select count(*) as n from graded group by cell)) as bigint) as off union all select 'a right answer is no agent error without input error', (select count(*) from graded where correct and agent_error and not input_error) union all select 'questions that need no boxes have no input error', (select count(*) from graded where not box_dependent and input_error)")
+def consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rule's number of runs that break it, all from one pass."""
+    cells = ("correct", "lucky_correct", "input_only", "agent_only", "both")
+    one = graded(spark, sf_dir).agg(
+        (F.count("*") - F.count_if(F.col("cell").isin(*cells))).alias("a"),
+        F.count_if(F.col("correct") & F.col("agent_error") & ~F.col("input_error")).alias("b"),
+        F.count_if(~F.col("box_dependent") & F.col("input_error")).alias("c"),
+    )
+    names = ("cells add up to the runs", "a right answer is no agent error without input error", "questions that need no boxes have no input error")
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(c).alias("off")) for n, c in zip(names, "abc", strict=True)))).alias("x")).select("x.rule", "x.off")
+
+
+@query(f"{_GRADED} select level, count(*) filter (cond = 1) as n, count(*) filter (cond = 1 and correct) as first_right, count(*) filter (cond = 3 and correct) as second_right, count(*) filter (cond = 1 and fail_kind is not null) as first_failed, count(*) filter (cond = 3 and fail_kind is not null) as second_failed from graded group by level")
+def language_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two run sets by level, in one pass."""
+    at = lambda k, c: F.count_if((F.col("cond") == k) & c)
+    failed = F.col("fail_kind").isNotNull()
+    return graded(spark, sf_dir).groupBy("level").agg(at(1, F.lit(True)).alias("n"), at(1, F.col("correct")).alias("first_right"), at(3, F.col("correct")).alias("second_right"), at(1, failed).alias("first_failed"), at(3, failed).alias("second_failed"))
