@@ -31,6 +31,7 @@ TEXTS = [
     "call +1 (269) 555-3296 or +49 30 1234567 8 and ++12345 and +1-2-3",
     "password=b7db7aa4a5fcc78305 token = \"839756d1d951091d\" iban DE89370400440532013000 account no. 12345678 https://bob:pw1@host.org/x",
     "x" * 200_000 + "@a.b",
+    "1" * 300_000,
 ]
 
 

@@ -40,7 +40,10 @@ def test_nearest_are_exact(spark):
     index = toxicity.fit(docs(spark, texts), labels(spark, toxic))
     for t in texts[:200]:
         at, x = index.vector(t)
-        all_sims = x @ index.weights[at].astype(np.float64) if len(at) else np.zeros(index.weights.shape[1])
+        all_sims = np.zeros(len(index.ids))
+        for k, w in zip(at, x, strict=True):
+            own = slice(index.pointers[k, 0], index.pointers[k, -1])
+            all_sims[index.examples[own]] += w * index.weights[own]
         found, sims = index.nearest(at, x)
         want = np.sort(all_sims[all_sims > 0])[::-1][: toxicity.K]
         assert np.allclose(sims, want, atol=1e-6)

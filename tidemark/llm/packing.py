@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import cut, ranked
 
 CAPACITY, END_ID = 1024, 2
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers, and the longest of them.
+REMEMBERED, WORD = 150_000, 40
 
 
 @cache
@@ -63,7 +63,9 @@ def encoder(path: str):
                 known.clear()
             for k, x in enumerate(out):
                 if x is None:
-                    out[k] = known[words[k]] = packed(fast.encode_ordinary(words[k]))
+                    out[k] = packed(fast.encode_ordinary(words[k]))
+                    if len(words[k]) <= WORD:
+                        known[words[k]] = out[k]
         return b"".join(out)
 
     return encode

@@ -80,8 +80,8 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     for end, (cue, n) in automaton().iter(small):
         at = end - n + 1
         if cue == "0":
-            if at and "0" <= text[at - 1] <= "9" and at > max(last[1], last[2]):
-                continue  # inside a run of digits; no match begins here that doesn't begin at its start
+            if at and "0" <= text[at - 1] <= "9":
+                continue  # inside a run of digits; a match begins at its start or nowhere in it
             if at >= last[1] and (m := IP.match(text, at)):
                 take(1, m, all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) < 256 for p in m[0].split(".")))
             if at >= last[2] and (m := CARD.match(text, at)):

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACES, cut
 
 SYMBOLS = "#*$%&|<>"
-#: Rules beside the base: symbols a word, share of repeated lines, letters a word.
-MAX_SYMBOLS, MAX_DUP_LINES, WORD_CHARS = 0.5, 0.3, (2.0, 25.0)
+#: Rules beside the base: symbols a word, exclamation marks a word, share of repeated lines if
+#: there are more than a few, letters a word.
+MAX_SYMBOLS, MAX_MARKS, MAX_DUP_LINES, FEW_LINES, WORD_CHARS = 0.1, 0.5, 0.3, 2, (2.0, 25.0)
 #: A host falls if its shrunken failure rate is over this.
 MAX_HOST_RATE = 0.5
 
@@ -58,13 +59,14 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        (F.length("text") - F.length(_without(F.col("text"), "!"))).cast("long").alias("n_marks"),
     )
 
 
 def rules(measured: DataFrame) -> DataFrame:
     """Add base_failed and failed (the base or any other rule)."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    more = (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")) | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
+    more = (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")) | (F.col("n_marks") > MAX_MARKS * F.col("n_words")) | (F.col("n_dup_lines") > F.greatest(F.lit(FEW_LINES), MAX_DUP_LINES * F.col("n_lines")))
     length = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
     return measured.withColumn("base_failed", base).withColumn("failed", base | more | ~length.between(*WORD_CHARS))
 
@@ -89,7 +91,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     words fail the base. The counts are written once, then read for the hosts and for the verdicts.
     """
     ruled = cut(rules(measures(docs, doc_id, text, host)))
-    verdicts = hosts(ruled).select("host", "host_rate", (F.col("host_rate") > max_host_rate).alias("host_falls"))
+    # written first, so that a host with a third of all rows can be split in the join
+    verdicts = cut(hosts(ruled).select("host", "host_rate", (F.col("host_rate") > max_host_rate).alias("host_falls")))
     return ruled.join(verdicts, "host").withColumn("kept", ~F.col("failed") & ~F.col("host_falls"))
 
 
@@ -108,11 +111,12 @@ counted as (
   select b.doc_id, host, cast(len(w) as bigint) as n_words,
     cast(length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
     cast(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
-    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words, len(lines) as n_lines
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words, len(lines) as n_lines,
+    length(body) - length(replace(body, '!', '')) as n_marks
   from base b left join covered c using (doc_id)),
 ruled as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-    n_symbols > {MAX_SYMBOLS} * n_words or n_dup_lines > {MAX_DUP_LINES} * n_lines
+    n_symbols > {MAX_SYMBOLS} * n_words or n_marks > {MAX_MARKS} * n_words or n_dup_lines > greatest({FEW_LINES}, {MAX_DUP_LINES} * n_lines)
       or word_chars / greatest(n_words, 1) not between {WORD_CHARS[0]} and {WORD_CHARS[1]} as more from counted),
 by_host as (select host, count(*) as n, sum(cast(base_failed or more as int)) as f from ruled group by host),
 prior as (select avg(f / n) as m, var_samp(f / n) as v from by_host),

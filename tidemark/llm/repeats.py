@@ -223,13 +223,14 @@ def repeated(rows: DataFrame) -> DataFrame:
     """From rows (id, text, tk, n, z) the runs [s, e) of repeated window starts, (id, tk, s, e); runs may meet."""
     found = _written(rows.select("id", "text").mapInArrow(_pieces, PIECE))
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
-    grams = grams.where("n > 1").select("gram", (F.col("lo") < F.col("hi")).alias("mixed"))
+    # written first, so that a gram with a third of all pieces can be split in the join
+    grams = cut(grams.where("n > 1").select("gram", (F.col("lo") < F.col("hi")).alias("mixed")))
     seen = _written(found.join(grams, "gram"))
     plain = seen.where(~F.col("mixed")).select("id", "tk", "s", "e")
     mixed = seen.where("mixed")
     contexts = cut(mixed.groupBy("gram", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("id", "tk", "s", "e", "a")).alias("ref")))
     copies = mixed.join(contexts.where("m > 1").select("gram", "ctx"), ["gram", "ctx"]).select("id", "tk", "s", "e")
-    sizes = contexts.groupBy("gram").agg(F.count("*").alias("k")).select("gram", (F.col("k") > LOCAL).alias("large"))
+    sizes = cut(contexts.groupBy("gram").agg(F.count("*").alias("k")).select("gram", (F.col("k") > LOCAL).alias("large")))
     asked = contexts.join(sizes, "gram").select("gram", "large", "ref.*", (F.col("m") == 1).alias("ask"))
     asked = asked.groupBy("id", "tk").agg(F.collect_set(F.struct("gram", "large", "s", "e", "a", "ask")).alias("asked"))
     texts = cut(rows.select("id", "tk", "n", "z").join(asked, ["id", "tk"]).mapInArrow(_questions, QUESTION))

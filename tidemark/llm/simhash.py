@@ -103,7 +103,8 @@ def links(found: DataFrame, bits: int = 2) -> DataFrame:
     if bits != 2:
         raise ValueError("lists are built for two differing bits")
     kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bytes")) for i, (m, _) in enumerate(masks(bits))))
-    postings = found.select("fp", F.explode(kinds).alias("p")).groupBy("p.kind", "p.bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = found.repartition(tasks, "fp").select("fp", F.explode(kinds).alias("p")).groupBy("p.kind", "p.bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     pairs = postings.select("kind", "members").mapInArrow(_stars(bits), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])).distinct()
     xor = F.col("u").bitwiseXOR(F.col("v"))
     shared = sum(F.when(F.shiftrightunsigned(xor, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(BYTES))
@@ -121,7 +122,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: in
     nodes = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), bits))
     rooted = cut(nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return base, rooted.join(least, "root").select("fp", "component_id", "root")
 
 

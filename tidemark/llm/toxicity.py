@@ -23,8 +23,8 @@ from tidemark.llm.common import crc_bucket, fresh
 MAX_EXAMPLES, MAX_TERMS, K, BLOCK = 6000, 2000, 15, 128
 STEMS, MIN_EXAMPLES, MIN_LOG_ODDS = (4, 5), 4, 1.5
 BINS = 10
-#: Ends of words that aren't letters of them, and words a task remembers.
-EDGES, REMEMBERED = ".,;:!?\"'()[]{}*#$%&|<>-_", 300_000
+#: Ends of words that aren't letters of them, words a task remembers, and the longest of them.
+EDGES, REMEMBERED, WORD = ".,;:!?\"'()[]{}*#$%&|<>-_", 100_000, 40
 
 
 def terms_of(word: str) -> list[str]:
@@ -38,11 +38,16 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """weights[t, e]: the normalised TF-IDF weight of term t in example e; bounds[t, b]: its largest in block b."""
+    """Postings by term and example: example and normalised TF-IDF weight.
+
+    Term t's postings in block b lie from pointers[t, b] to pointers[t, b + 1]; bounds[t, b] is their largest weight.
+    """
 
     place: dict[str, int]
     idf: np.ndarray
+    examples: np.ndarray
     weights: np.ndarray
+    pointers: np.ndarray
     bounds: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
@@ -63,7 +68,9 @@ class Index:
         for w in words_of(text):
             own = known.get(w)
             if own is None:
-                own = known[w] = tuple(self.place[t] for t in terms_of(w) if t in self.place)
+                own = tuple(self.place[t] for t in terms_of(w) if t in self.place)
+                if len(w) <= WORD:
+                    known[w] = own
             for t in own:
                 tf[t] = tf.get(t, 0) + 1
         at = np.array(sorted(tf), dtype=np.int64)
@@ -79,7 +86,11 @@ class Index:
             if bound[b] <= 0 or len(sims) == K and bound[b] < sims[-1] - 1e-9:
                 break
             lo = b * BLOCK
-            own = x @ self.weights[at, lo : lo + BLOCK]
+            own = np.zeros(BLOCK)
+            for t, w in zip(at.tolist(), x.tolist(), strict=True):
+                i, j = self.pointers[t, b], self.pointers[t, b + 1]
+                if j > i:
+                    own[self.examples[i:j] - lo] += w * self.weights[i:j]
             hit = np.flatnonzero(own > 0)
             hit = hit[hit + lo != skip]
             found, sims = np.concatenate([found, hit + lo]), np.concatenate([sims, own[hit]])
@@ -123,8 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         vocabulary = telling.orderBy(F.desc(F.abs("odds") * F.sqrt("df")), "term").limit(MAX_TERMS).collect()
         place = {r["term"]: i for i, r in enumerate(vocabulary)}
         idf = np.array([math.log((n + 1) / (r["df"] + 0.5)) for r in vocabulary])
-        size = -(-n // BLOCK) * BLOCK
-        index = Index(place, idf, np.zeros((len(place), size), np.float32), np.zeros((len(place), size // BLOCK), np.float32), np.zeros(n, np.int64), np.zeros(n), (toxic + 0.5) / (n + 1))
+        blocks = -(-n // BLOCK)
+        none = np.zeros(0)
+        index = Index(place, idf, none, none, none, np.zeros((len(place), blocks)), np.zeros(n, np.int64), np.zeros(n), (toxic + 0.5) / (n + 1))
         spread = docs.sparkSession.sparkContext.broadcast(index)
 
         def vectors(batches):
@@ -138,10 +150,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         rows.unpersist()
     for e, r in enumerate(table):
         index.ids[e], index.toxic[e] = r["ex_id"], r["ex_toxic"]
-        index.weights[r["at"], e] = r["x"]
-    if n:
-        # a hair more, so that rounding of the bound never closes a block too early
-        index.bounds[:] = index.weights.reshape(len(place), -1, BLOCK).max(axis=2) * 1.0001
+    size = np.array([len(r["at"]) for r in table], np.int64)
+    example = np.repeat(np.arange(n), size)
+    term, weight = (np.array([v for r in table for v in r[c]], kind) for c, kind in (("at", np.int64), ("x", np.float64)))
+    order = np.lexsort((example, term))
+    index.examples, index.weights = example[order], weight[order]
+    starts = (np.arange(len(place))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :]).ravel()
+    index.pointers = np.searchsorted(term[order] * (blocks + 1) + example[order] // BLOCK, starts).reshape(len(place), blocks + 1)
+    # a hair more, so that rounding of the bound never closes a block too early
+    np.maximum.at(index.bounds, (term, example // BLOCK), weight * 1.0001)
     _calibrate(index, table)
     return index
 
