@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, pii, simhash, toxicity
-from tidemark.llm.common import cut, ensure_checkpoint_dir, fresh, read
+from tidemark.llm.common import cut, ensure_checkpoint_dir, fresh, in_file_order, read
 from tidemark.llm.queries import TOKENIZER
 
 
@@ -27,20 +27,21 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return pii.redacted(docs)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
     """All documents in the order of the mixture: files in the order of slots, rows in the order of slots and places."""
     slot, place, key = fresh(docs, "mix_slot", "mix_place", "mix_key")
     # the schedule needs ids and sources alone; equal pairs of both take each other's places
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
-    slots = mixing.mix(cut(keyed.select("doc_id", "source", key)))
+    slots = mixing.mix(cut(keyed.select("doc_id", "source", key)), weights)
     turn = slots.groupBy("doc_id", "source", key).agg(F.min("slot").alias(slot), F.min_by("place", F.struct("slot", "place")).alias(place))
     same = [keyed[c].eqNullSafe(turn[c]) for c in ("doc_id", "source", key)]
     return keyed.join(turn, same).select(*(keyed[c] for c in docs.columns), slot, place).orderBy(slot, place).drop(slot, place)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences of 1,024 tokens."""
-    return packing.pack_documents(docs, TOKENIZER)
+    """The places of all documents' pieces in sequences of 1,024 tokens, by the order of the files and of their rows."""
+    order = fresh(docs, "file_part", "file_row")
+    return packing.pack_documents(in_file_order(docs, *order), TOKENIZER, order=tuple(order))
 
 
 STAGES = [

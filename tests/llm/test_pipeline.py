@@ -32,3 +32,20 @@ def test_mixture_orders_the_rows(spark, sf_dir):
 def test_every_query_is_registered():
     assert sorted(n.split("_")[0] for n in QUERIES) == sorted([*(f"op{k}" for k in range(1, 11)), "pipeline"])
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_weights_reach_the_packed_rows(spark, sf_dir, monkeypatch):
+    from functools import partial
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    packed = []
+    for sign in (1, -1):
+        weights = {r.source: 2.0 ** (sign * int(r.source[3:]) / 4) for r in docs.select("source").distinct().collect()}
+        mix = partial(corpus_pipeline.mix_sources, weights=weights)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("mixing", mix), corpus_pipeline.STAGES[-1]])
+        place = {r.doc_id: i for i, r in enumerate(mix(spark, docs, sf_dir).select("doc_id").collect())}
+        rows = corpus_pipeline.run(spark, sf_dir).collect()
+        heads = {r.sequence_id: (place[r.doc_id], r.piece) for r in rows if r.offset == 0}
+        assert sorted(heads) == list(range(len(heads))) and [heads[q] for q in sorted(heads)] == sorted(heads.values())
+        packed.append({tuple(r) for r in rows})
+    assert packed[0] != packed[1] and len(packed[0]) == len(packed[1])

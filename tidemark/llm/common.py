@@ -46,22 +46,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def in_file_order(docs: DataFrame, part: str, row: str) -> DataFrame:
+    """docs, read from the files of one write, with the number of the row's file and the row's number in it.
+
+    Spark numbers files by partition (part-00007-...), then by c000, c001 if a partition's rows fill several.
+    """
+    name = F.col("_metadata.file_name")
+    number = [F.regexp_extract(name, pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"c(\d+)\.[^-]*$")]
+    return docs.select("*", (number[0] * 1_000_000 + number[1]).alias(part), F.col("_metadata.row_index").alias(row))
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def ranked(df: DataFrame, group: Column, order: list[Column], name: str, buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: Column, order: list[Column], name: str, buckets: int = 64, bucket: Column | None = None) -> DataFrame:
     """Add `name`: the row's rank from 0 within its group.
 
     Rows of a group are dealt to `buckets` by a hash of the order columns, ranked there, and moved up by the
     sizes of the buckets before, so a group that holds a third of all rows isn't sorted by one task. The order
-    is by bucket, then by `order`. df has to be stable (a table or a checkpoint), as it is read twice.
+    is by bucket, then by `order`. A given `bucket` (long, not null) that rises with the order makes it the order alone.
+    df has to be stable (a table or a checkpoint), as it is read twice.
     """
     from pyspark.sql import Window as W
 
     g, b, n = fresh(df, "rank_group", "rank_bucket", "rank_before")
-    dealt = df.withColumn(g, group).withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn(g, group).withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket)
     sizes = dealt.groupBy(g, b).count()
     before = sizes.select(g, b, F.coalesce(F.sum("count").over(W.partitionBy(g).orderBy(b).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(n))
     rank = F.row_number().over(W.partitionBy(g, b).orderBy(*order)) - 1

@@ -3,7 +3,8 @@
 Only the number of pieces of each length matters for the plan, so it is made from a histogram with one entry for each
 length up to the capacity, however many documents there are. Pieces over a third of the capacity are matched greedily,
 two in a sequence at most; shorter ones go, longest first, to the smallest gap that takes them. The plan says which
-ranks of a length go to which sequences, and the pieces find their places by a join on length and rank.
+ranks of a length go to which sequences, and the pieces find their places by a join on length and rank. Ranks are by a
+hash, or by an order that the caller gives; then sequences are numbered by the order of their first pieces.
 """
 
 from __future__ import annotations
@@ -80,22 +81,26 @@ def _cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """Each row's pieces with their ids (little-endian unsigned 32-bit; null unless with_ids). A null text is empty."""
+def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, order: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's pieces with their ids (little-endian unsigned 32-bit; null unless with_ids). A null text is empty.
+
+    The columns of order (long) are handed on.
+    """
+    schema = T.StructType([*PIECES, *(T.StructField(c, T.LongType()) for c in order)])
 
     def run(batches):
         encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t, *at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = encode(t or "") + end
                 for k, (s, n) in enumerate(_cuts(len(ids) // 4, capacity)):
                     own = ids[4 * s : 4 * (s + n)]
-                    rows.append((i, k, s, n, zlib.crc32(own), own if with_ids else None))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], PIECES.names)
+                    rows.append((i, k, s, n, zlib.crc32(own), own if with_ids else None, *at))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *(pa.int64() for _ in order))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], schema.names)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text), *order).mapInArrow(run, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -165,26 +170,36 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
     """found with sequence_id and offset. found has length (1 to capacity), doc_id and piece, and has to be stable.
 
-    Repeated rows are placed each on its own. The plan is bounded by the capacity, so it is broadcast.
+    Repeated rows are placed each on its own. The plan is bounded by the capacity, so it is broadcast. With order (long
+    columns; rows with equal values in the first go to one task a length), pieces of a length are placed by it, and a
+    sequence's number is the rank of its first piece, which is its longest, among all first pieces.
     """
     spark = found.sparkSession
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most `capacity` rows
     schema = "length long, from_rank long, to_rank long, first_sequence long, each long, first_offset long"
     places = spark.createDataFrame(plan(histogram, capacity), schema)
-    placed = ranked(found, F.col("length"), [F.col("doc_id"), F.col("piece")], "rank")
+    bucket = F.col(order[0]) if order else None
+    by = [*(F.col(c) for c in order[1:]), F.col("doc_id"), F.col("piece")]
+    placed = ranked(found, F.col("length"), by, "rank", bucket=bucket)
     fits = (placed["length"] == places["length"]) & (placed["rank"] >= places["from_rank"]) & (placed["rank"] < places["to_rank"])
     k = F.col("rank") - F.col("from_rank")
-    return placed.join(F.broadcast(places), fits).select(
+    placed = placed.join(F.broadcast(places), fits).select(
         *(placed[c] for c in found.columns),
         (F.col("first_sequence") + F.floor(k / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + k % F.col("each") * placed["length"]).cast("long").alias("offset"),
     )
+    if not order:
+        return placed
+    placed = cut(placed)
+    heads = ranked(placed.where(F.col("offset") == 0), F.lit(0), by, "number", bucket=bucket).select("sequence_id", "number")
+    kept = [F.col(c) for c in found.columns if c not in order]
+    return placed.join(heads, "sequence_id").select(*kept, F.col("number").cast("long").alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids), sequence_id, offset for each piece of each row."""
-    found = pieces(docs, tokenizer, doc_id, text, capacity, with_ids=with_ids)
-    return pack(cut(found if with_ids else found.drop("ids")), capacity)
+    found = pieces(docs, tokenizer, doc_id, text, capacity, with_ids=with_ids, order=order)
+    return pack(cut(found if with_ids else found.drop("ids")), capacity, order)
