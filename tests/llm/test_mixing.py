@@ -53,3 +53,17 @@ def test_no_rows_and_too_many_sources(spark):
     assert mixing.mix(frame.limit(0)).collect() == []
     with pytest.raises(ValueError):
         mixing.mix(frame)
+
+
+def test_thirds_and_small_weights_stay_exact(spark):
+    frame = spark.range(7503).selectExpr("id AS doc_id", "CASE WHEN id < 7500 THEN concat('s', id % 3) ELSE 'tiny' END AS source")
+    weights = {"s0": 1 / 3, "s1": 1 / 3, "s2": 1 / 3, "tiny": 1e-4}
+    total = sum(weights.values())
+    rows = sorted(mixing.mix(frame, weights, block_docs=1).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(7503)) and len({r.doc_id for r in rows}) == 7503
+    done = Counter()
+    for t, r in enumerate(rows, 1):
+        assert r.release <= r.slot < r.deadline
+        done[r.source] += 1
+        assert r.phase or all(abs(done[s] - w / total * t) < 1 for s, w in weights.items())
+    assert sum(r.phase == 0 for r in rows) > 7400
