@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict
     slot, place, key = fresh(docs, "mix_slot", "mix_place", "mix_key")
     # the schedule needs ids and sources alone; equal pairs of both take each other's places
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
-    slots = mixing.mix(cut(keyed.select("doc_id", "source", key)), weights)
+    slots = mixing.mix(cut(keyed.select("doc_id", "source", key)), weights, max_sources=None)
     turn = slots.groupBy("doc_id", "source", key).agg(F.min("slot").alias(slot), F.min_by("place", F.struct("slot", "place")).alias(place))
     same = [keyed[c].eqNullSafe(turn[c]) for c in ("doc_id", "source", key)]
     return keyed.join(turn, same).select(*(keyed[c] for c in docs.columns), slot, place).orderBy(slot, place).drop(slot, place)

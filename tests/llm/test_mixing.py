@@ -1,4 +1,5 @@
 import random
+import tempfile
 from collections import Counter, defaultdict
 
 from tests.llm.helpers import docs
@@ -67,3 +68,17 @@ def test_thirds_and_small_weights_stay_exact(spark):
         done[r.source] += 1
         assert r.phase or all(abs(done[s] - w / total * t) < 1 for s, w in weights.items())
     assert sum(r.phase == 0 for r in rows) > 7400
+
+
+def test_any_number_of_sources(spark):
+    from tidemark.llm.queries import op8_mixing
+
+    frame = spark.range(4000).selectExpr("id AS doc_id", "concat('host', CAST(pow(id, 0.75) AS long)) AS source")
+    n = frame.select("source").distinct().count()
+    assert n > 450
+    with tempfile.TemporaryDirectory() as folder:
+        frame.write.parquet(f"{folder}/documents.parquet")
+        rows = op8_mixing(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(4000))
+    blocks = {r.slot: (r.source, r.block) for r in rows}
+    assert sorted(blocks) == list(range(len(set(blocks.values())))) and all(r.release <= r.slot < r.deadline for r in rows)

@@ -43,7 +43,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"), max_sources=None)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
