@@ -70,3 +70,18 @@ def test_redaction_keeps_columns(spark):
     assert rows[0].text is None and rows[5].text.startswith("call [PHONE] or [PHONE]") and rows[5].n_chars == len(rows[5].text)
     assert not any(pii.spans(r.text or "") for r in rows.values() if r.doc_id != 3)
     assert pii.report(frame.limit(0)).collect() == []
+
+
+def test_ibans_with_spaces_and_without_cue(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "de89 37040044 0532013000", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    bad = ["DE88 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 0", "DE89  3704 0044 0532 0130 00", "xDE89370400440532013000", "DE893704004405320130001", "DE89", "ZZ89370400440532013000"]
+    for before in ("", "iban ", "pay to ", "IBAN: ", "account no. "):
+        for s in good:
+            text = f"{before}{s} and more"
+            assert [(text[a:b], k) for a, k, b in pii.spans(text) if k == 4] == [(s, 4)], text
+    for s in bad:
+        assert not [x for x in pii.spans(f"pay to {s} and more") if x[1] == 4], s
+    text = "account DE893704 0044 0532 0130 00."
+    assert pii.redact(text, pii.spans(text)) == "account [ACCOUNT]."
+    clean = pii.redacted(docs(spark, ["send DE89 3704 0044 0532 0130 00, GB29NWBK60161331926819 now"])).first()
+    assert clean.text == "send [ACCOUNT], [ACCOUNT] now" and clean.n_chars == len(clean.text)

@@ -2,7 +2,7 @@
 
 Cues are at-signs, plus signs, digits, URL schemes and words that name an identifier. Everything else of a text is
 passed over by the automaton alone. Kinds: email, ip, card, phone (the base), and beside them account (numbers that a
-cue word names, valid IBANs, user parts of URLs) and secret (values that a cue word assigns).
+cue word names, valid IBANs with or without one, user parts of URLs) and secret (values that a cue word assigns).
 """
 
 from __future__ import annotations
@@ -33,6 +33,22 @@ NUMBER = re.compile(r"(?:[ \t]*(?:no|number|nr|#|:|=|is)\.?)*[ \t]*([A-Za-z]{0,4
 ASSIGNED = re.compile(r"[ \t]*[=:][ \t]*[\"']?([A-Za-z0-9_/+.-]{8,})", re.ASCII)
 USER = re.compile(r"([A-Za-z0-9._~%!$&'()*+,;=-]+:[A-Za-z0-9._~%!$&'()*+,;=-]+)@", re.ASCII)
 
+#: Characters of an IBAN by country.
+IBAN = {
+    country: int(n)
+    for n, own in (
+        x.split(":")
+        for x in (
+            "15:NO 16:BE 18:DK,FO,FI,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV "
+            "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+            "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA "
+            "30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for country in own.split(",")
+}
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
 
 @cache
 def automaton() -> ahocorasick.Automaton:
@@ -55,11 +71,37 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def checked(s: str) -> bool:
+    """The check digits of an IBAN without spaces."""
+    moved = (s[4:] + s[:4]).upper()
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def iban(text: str, at: int) -> int:
+    """The end of the valid IBAN that begins at a place, 0 if there is none.
+
+    Single spaces are stepped over behind each fourth character, and elsewhere before a digit.
+    """
+    n = IBAN.get(text[at : at + 2].upper(), 0)
+    if not n or at and text[at - 1].isalnum():
+        return 0
+    found, i = [], at
+    while len(found) < n and i < len(text):
+        if text[i] in ALNUM:
+            found.append(text[i])
+        elif text[i] != " " or text[i - 1] == " " or len(found) % 4 and not "0" <= text[i + 1 : i + 2] <= "9":
+            return 0
+        i += 1
+    if len(found) < n or i < len(text) and text[i].isalnum():
+        return 0
+    s = "".join(found)
+    return i if all("0" <= c <= "9" for c in s[2:4]) and checked(s) else 0
+
+
 def valid_account(s: str) -> bool:
     """Six digits or more; what looks like an IBAN has to pass its check digits."""
     if re.fullmatch(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{11,30}", s):
-        moved = (s[4:] + s[:4]).upper()
-        return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+        return checked(s)
     return sum(c.isdigit() for c in s) >= 6
 
 
@@ -87,6 +129,9 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             if at >= last[2] and (m := CARD.match(text, at)):
                 d = digits(m)
                 take(2, m, 12 <= len(d) <= 19 and luhn(d))
+            if at - 2 >= last[4] and text[at - 1] in ALNUM and (stop := iban(text, at - 2)):
+                last[4] = stop
+                found.append((at - 2, 4, stop))
         elif cue == "+":
             if at >= last[3] and (m := PHONE.match(text, at)):
                 take(3, m, 9 <= len(digits(m)) <= 15)
@@ -101,7 +146,11 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             if m := USER.match(text, end + 1):
                 take(4, _group(m), True)
         elif at >= last[kind := KINDS.index(cue)] and not (at and text[at - 1].isalnum()) and (m := (NUMBER if cue == "account" else ASSIGNED).match(text, end + 1)):
-            take(kind, _group(m), cue == "secret" or valid_account(m[1]))
+            if cue == "account" and (stop := iban(text, m.start(1))):
+                last[kind] = stop
+                found.append((m.start(1), kind, stop))
+            else:
+                take(kind, _group(m), cue == "secret" or valid_account(m[1]))
     return sorted(found)
 
 
