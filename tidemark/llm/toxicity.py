@@ -1,15 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Terms are words without outer punctuation and their first letters (STEMS), so that inflected forms meet. Up to
-MAX_EXAMPLES labelled rows, dealt by a hash of their ids, are the examples; of their terms the MAX_TERMS that tell the
-labels apart best make up the vocabulary. Postings lie in blocks of BLOCK examples with each term's largest weight; a
-block is opened only if its bound beats the K-th similarity so far, so the K nearest are exact. Votes, weighted by
-similarity, are turned into probabilities on the examples themselves, each judged without itself.
+Terms are words without outer punctuation. Up to MAX_EXAMPLES labelled rows of at most MAX_EXAMPLE_CHARS characters,
+dealt by a hash of their ids, are the examples; all their terms make up the vocabulary. Document frequencies are counted
+over all documents. A term's weight is TF times IDF times its relevance: how many standard errors its odds in toxic and
+other examples lie apart, halved and squared, and one at least, so no term is dropped or weakened.
+
+Examples lie in blocks of BLOCK. Rare terms are looked up in their postings; the DENSE most frequent terms have their
+largest weight in each block, and a block's own weights are used only for texts whose bound there beats their K-th
+similarity so far, so the K nearest are exact. Votes, weighted by similarity, are turned into probabilities on the
+examples themselves, each judged without itself.
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,161 +24,202 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import crc_bucket, fresh
 
-MAX_EXAMPLES, MAX_TERMS, K, BLOCK = 6000, 2000, 15, 128
-STEMS, MIN_EXAMPLES, MIN_LOG_ODDS = (4, 5), 4, 1.5
+#: Bounds of what is learnt from, and so of the index that every task gets.
+MAX_EXAMPLES, MAX_EXAMPLE_CHARS = 6000, 20_000
+K, BLOCK, DENSE, BATCH = 15, 128, 512, 256
 BINS = 10
-#: Ends of words that aren't letters of them, words a task remembers, and the longest of them.
-EDGES, REMEMBERED, WORD = ".,;:!?\"'()[]{}*#$%&|<>-_", 100_000, 40
+#: Ends of words that aren't letters of them.
+EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
-def terms_of(word: str) -> list[str]:
-    core = word.strip(EDGES)
-    return [core, *(f"{core[:n]}~" for n in STEMS if len(core) >= n)] if core else []
-
-
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def bag(text: str | None) -> dict[str, int]:
+    """The terms of a whole text and how often each occurs."""
+    found: dict[str, int] = {}
+    for word, n in Counter((text or "").lower().split()).items():
+        if term := word.strip(EDGES):
+            found[term] = found.get(term, 0) + n
+    return found
 
 
 @dataclass
 class Index:
-    """Postings by term and example: example and normalised TF-IDF weight.
+    """Examples by place (ids -1: padding of the last block), terms by number, the most frequent first.
 
-    Term t's postings in block b lie from pointers[t, b] to pointers[t, b + 1]; bounds[t, b] is their largest weight.
+    dense and bounds: weights of the first terms by example, and their largest by block. The postings of term t behind
+    them lie from pointers[t - len(dense)] to the next.
     """
 
-    place: dict[str, int]
-    idf: np.ndarray
+    terms: dict[str, int]
+    weight: np.ndarray
+    dense: np.ndarray
+    bounds: np.ndarray
+    pointers: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
-    pointers: np.ndarray
-    bounds: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     prior: float
     edges: np.ndarray = field(default_factory=lambda: np.zeros(0))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    known: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The text's terms of the vocabulary and their normalised weights."""
-        tf: dict[int, int] = {}
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in words_of(text):
-            own = known.get(w)
-            if own is None:
-                own = tuple(self.place[t] for t in terms_of(w) if t in self.place)
-                if len(w) <= WORD:
-                    known[w] = own
-            for t in own:
-                tf[t] = tf.get(t, 0) + 1
-        at = np.array(sorted(tf), dtype=np.int64)
-        x = np.array([1 + math.log(tf[t]) for t in at.tolist()]) * self.idf[at]
-        norm = np.sqrt((x * x).sum())
-        return at, x / norm if norm else x
-
-    def nearest(self, at: np.ndarray, x: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K most similar examples (similarity over 0) and their cosines; ties go to the smaller place."""
-        found, sims = np.zeros(0, np.int64), np.zeros(0)
-        bound = x @ self.bounds[at] if len(at) else np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(sims) == K and bound[b] < sims[-1] - 1e-9:
-                break
-            lo = b * BLOCK
-            own = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), x.tolist(), strict=True):
-                i, j = self.pointers[t, b], self.pointers[t, b + 1]
-                if j > i:
-                    own[self.examples[i:j] - lo] += w * self.weights[i:j]
-            hit = np.flatnonzero(own > 0)
-            hit = hit[hit + lo != skip]
-            found, sims = np.concatenate([found, hit + lo]), np.concatenate([sims, own[hit]])
-            best = np.lexsort((found, -sims))[:K]
-            found, sims = found[best], sims[best]
-        return found, sims
-
-    def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
+
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and weight of the texts' terms of the vocabulary; each text's weights have the length one."""
+        row, term, tf = [], [], []
+        for i, text in enumerate(texts):
+            own = {t: n for w, n in bag(text).items() if (t := self.terms.get(w)) is not None}
+            row += [i] * len(own)
+            term += own
+            tf += own.values()
+        return normalised(np.array(row, np.int64), np.array(term, np.int64), np.array(tf, np.float64), self.weight, len(texts))
+
+    def nearest(self, texts: list[str | None], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and cosine of each text's K most similar examples (over 0), nearest first, ties to smaller ids.
+
+        own: ids of examples that the texts don't count as neighbours.
+        """
+        row, term, x = self.vectors(texts)
+        n, m, d = len(texts), len(self.ids), len(self.dense)
+        often = term < d
+        q = np.zeros((n, d))
+        q[row[often], term[often]] = x[often]
+        row, x, term = row[~often], x[~often], term[~often] - d
+        size = self.pointers[term + 1] - self.pointers[term]
+        at = np.arange(size.sum()) + np.repeat(self.pointers[term] - np.cumsum(size) + size, size)
+        sims = np.bincount(np.repeat(row, size) * m + self.examples[at], np.repeat(x, size) * self.weights[at], n * m).astype(np.float64, copy=False).reshape(n, m)
+        if own is not None:
+            sims[own[:, None] == self.ids[None, :]] = -np.inf
+        blocks = sims.reshape(n, m // BLOCK, BLOCK)
+        bound = q @ self.bounds + blocks.max(axis=2, initial=-np.inf)
+
+        def look(at: np.ndarray) -> None:
+            for b in np.flatnonzero(at.any(axis=0)):
+                rows = np.flatnonzero(at[:, b])
+                blocks[rows, b] += q[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+
+        first = np.zeros(bound.shape, bool)
+        if m:
+            first[np.arange(n), bound.argmax(axis=1)] = True
+        look(first)
+        so_far = np.partition(blocks[first], BLOCK - K, axis=1)[:, BLOCK - K] if m else np.zeros(n)
+        more = ~first & (bound > so_far[:, None] - 1e-9)
+        look(more)
+        blocks[~(first | more)] = 0
+        # the last digits depend on the order of sums
+        np.round(sims, 12, out=sims)
+        least = np.partition(sims, m - K, axis=1)[:, m - K] if m else np.zeros(n)
+        row, place = np.nonzero((sims >= least[:, None]) & (sims > 0))
+        found = sims[row, place]
+        order = np.lexsort((self.ids[place], -found, row))
+        row, place, found = row[order], place[order], found[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < K
+        return row[keep], place[keep], found[keep]
+
+    def votes(self, n: int, row: np.ndarray, place: np.ndarray, sims: np.ndarray) -> np.ndarray:
         """The share of toxic examples by similarity; a text that is near to none has the prior, with weight one half."""
-        return float(((sims * self.toxic[found]).sum() + 0.5 * self.prior) / (sims.sum() + 0.5))
+        return (np.bincount(row, sims * self.toxic[place], n) + 0.5 * self.prior) / (np.bincount(row, sims, n) + 0.5)
+
+    def probabilities(self, votes: np.ndarray) -> np.ndarray:
+        return np.interp(votes, self.edges, self.values) if len(self.edges) else np.full(len(votes), self.prior)
 
-    def probability(self, vote: float) -> float:
-        return float(np.interp(vote, self.edges, self.values)) if len(self.edges) else self.prior
 
+def normalised(row: np.ndarray, term: np.ndarray, tf: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = (1 + np.log(tf)) * weight[term]
+    norm = np.sqrt(np.bincount(row, x * x, n))
+    return row, term, x / norm[row]
 
-def _examples(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, folds: int) -> list[tuple[int, str, int]]:
-    """At most MAX_EXAMPLES labelled rows of the learning folds; the ids first, then their texts."""
+
+def relevance(toxic: np.ndarray, df: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """By term, from its examples and those of them that are toxic: at least one, and more the surer its odds differ."""
+    a, b, c, d = toxic + 0.5, n_toxic - toxic + 0.5, df - toxic + 0.5, n - n_toxic - df + toxic + 0.5
+    z = np.abs(np.log(a / b) - np.log(c / d)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return np.maximum(1, z / 2) ** 2
+
+
+def _examples(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, folds: int) -> pa.Table:
+    """ex_id, ex_toxic, ex_text of at most MAX_EXAMPLES labelled rows of the learning folds; ids first, then texts."""
     label = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), folds) != 0))
-    label = label.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select(F.col(doc_id).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    chosen = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).toArrow().to_pydict()
-    chosen = docs.sparkSession.createDataFrame(list(zip(chosen["doc_id"], chosen["toxic"], strict=True)), "ex_id long, ex_toxic int")
+    label = label.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = docs.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= MAX_EXAMPLE_CHARS)
+    chosen = label.join(short.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).toArrow()
+    chosen = docs.sparkSession.createDataFrame(list(zip(*(c.to_pylist() for c in chosen.columns), strict=True)), "ex_id long, ex_toxic int")
     # MAX_EXAMPLES rows of two numbers; of rows that share an id the smallest text is taken
-    rows = docs.select(F.col(doc_id).alias("ex_id"), F.col(text).alias("ex_text")).join(F.broadcast(chosen), "ex_id").groupBy("ex_id", "ex_toxic").agg(F.min("ex_text").alias("ex_text"))
+    rows = short.select(F.col(doc_id).alias("ex_id"), F.coalesce(F.col(text), F.lit("")).alias("ex_text")).join(F.broadcast(chosen), "ex_id")
+    return rows.groupBy("ex_id").agg(F.max("ex_toxic").alias("ex_toxic"), F.min("ex_text").alias("ex_text")).toArrow().sort_by("ex_id")
+
 
-    def bags(batches):
+def document_frequencies(docs: DataFrame, text: str, terms: list[str]) -> tuple[int, dict[str, int]]:
+    """The number of all rows, and of those that hold each of the terms (which have a bound, as the examples do)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def run(batches):
+        found: Counter = Counter()
         for batch in batches:
-            bag = [sorted({t: None for w in set(words_of(x)) for t in terms_of(w)}) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bag, pa.list_(pa.string()))], ["ex_id", "ex_toxic", "ex_text", "terms"])
+            found[""] += batch.num_rows
+            for t in batch.column(0).to_pylist():
+                found.update(shared.value.intersection({w.strip(EDGES) for w in set((t or "").lower().split())}))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
 
-    return rows.mapInArrow(bags, "ex_id long, ex_toxic int, ex_text string, terms array<string>")
+    counted = docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    by = dict(zip(*(c.to_pylist() for c in counted.columns), strict=True))
+    return by.pop("", 0), by
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5) -> Index:
-    rows = _examples(docs, labels, doc_id, text, folds).cache()
-    try:
-        per = rows.groupBy().agg(F.count("*").alias("n"), F.sum("ex_toxic").alias("t")).first()
-        n, toxic = per["n"] or 0, per["t"] or 0
-        by = rows.select(F.explode("terms").alias("term"), "ex_toxic").groupBy("term").agg(F.count("*").alias("df"), F.sum("ex_toxic").alias("t"))
-        odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("df") - F.col("t") + 0.5) / (n - toxic + 1))
-        telling = by.where(F.col("df") >= MIN_EXAMPLES).withColumn("odds", odds).where(F.abs("odds") >= MIN_LOG_ODDS)
-        vocabulary = telling.orderBy(F.desc(F.abs("odds") * F.sqrt("df")), "term").limit(MAX_TERMS).collect()
-        place = {r["term"]: i for i, r in enumerate(vocabulary)}
-        idf = np.array([math.log((n + 1) / (r["df"] + 0.5)) for r in vocabulary])
-        blocks = -(-n // BLOCK)
-        none = np.zeros(0)
-        index = Index(place, idf, none, none, none, np.zeros((len(place), blocks)), np.zeros(n, np.int64), np.zeros(n), (toxic + 0.5) / (n + 1))
-        spread = docs.sparkSession.sparkContext.broadcast(index)
-
-        def vectors(batches):
-            for batch in batches:
-                own = [spread.value.vector(x) for x in batch.column(2).to_pylist()]
-                columns = [pa.array([v[k].tolist() for v in own], pa.list_(kind)) for k, kind in ((0, pa.int64()), (1, pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["ex_id", "ex_toxic", "at", "x"])
-
-        table = rows.mapInArrow(vectors, "ex_id long, ex_toxic int, at array<long>, x array<double>").toArrow().sort_by("ex_id").to_pylist()
-    finally:
-        rows.unpersist()
-    for e, r in enumerate(table):
-        index.ids[e], index.toxic[e] = r["ex_id"], r["ex_toxic"]
-    size = np.array([len(r["at"]) for r in table], np.int64)
-    example = np.repeat(np.arange(n), size)
-    term, weight = (np.array([v for r in table for v in r[c]], kind) for c, kind in (("at", np.int64), ("x", np.float64)))
-    order = np.lexsort((example, term))
-    index.examples, index.weights = example[order], weight[order]
-    starts = (np.arange(len(place))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :]).ravel()
-    index.pointers = np.searchsorted(term[order] * (blocks + 1) + example[order] // BLOCK, starts).reshape(len(place), blocks + 1)
+    rows = _examples(docs, labels, doc_id, text, folds)
+    ids, toxic, texts = rows["ex_id"].to_numpy(), rows["ex_toxic"].to_numpy().astype(np.float64), rows["ex_text"].to_pylist()
+    bags = [bag(t) for t in texts]
+    n, n_toxic = len(ids), int(toxic.sum())
+    by_examples = Counter(t for b in bags for t in b)
+    terms = {t: i for i, t in enumerate(sorted(by_examples, key=lambda t: (-by_examples[t], t)))}
+    n_docs, df = document_frequencies(docs, text, list(terms)) if terms else (0, {})
+    size = np.array([len(b) for b in bags], np.int64)
+    row, term = np.repeat(np.arange(n), size), np.array([terms[t] for b in bags for t in b], np.int64)
+    weight = np.log((n_docs + 1) / (np.array([df.get(t, 1) for t in terms]) + 0.5))
+    weight *= relevance(np.bincount(term, toxic[row], len(terms)), np.bincount(term, minlength=len(terms)), n_toxic, n)
+    row, term, x = normalised(row, term, np.array([k for b in bags for k in b.values()], np.float64), weight, n)
+
+    # neighbours lie in a block if they lean on the same frequent term and are of a size; padding has the id -1
+    d, m = min(DENSE, len(terms)), -(-n // BLOCK) * BLOCK
+    dense = np.zeros((d, m))
+    dense[term[term < d], row[term < d]] = x[term < d]
+    leading = dense[:, :n].argmax(axis=0) if d else np.zeros(n)
+    order = np.lexsort((ids, size, leading))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    dense[:, :n] = dense[:, order]
+    row, rest = place[row], term >= d
+    by = np.lexsort((row[rest], term[rest]))
+    pointers = np.concatenate([[0], np.cumsum(np.bincount(term[rest] - d, minlength=len(terms) - d))])
+    padded = lambda v, fill: np.concatenate([v[order], np.full(m - n, fill, v.dtype)])
     # a hair more, so that rounding of the bound never closes a block too early
-    np.maximum.at(index.bounds, (term, example // BLOCK), weight * 1.0001)
-    _calibrate(index, table)
+    bounds = dense.reshape(d, m // BLOCK, BLOCK).max(axis=2) * 1.0001
+    index = Index(terms, weight, dense, bounds, pointers, row[rest][by].astype(np.int32), x[rest][by], padded(ids, -1), padded(toxic, 0), (n_toxic + 0.5) / (n + 1))
+    if n:
+        _calibrate(docs.sparkSession, index, rows)
     return index
 
 
-def _calibrate(index: Index, table: list[dict]) -> None:
+def _calibrate(spark, index: Index, rows: pa.Table) -> None:
     """Bins of votes with their toxic share, made monotone by pooling; each example is judged without itself."""
-    if not table:
-        return
-    votes = np.array([index.vote(*index.nearest(np.array(r["at"], np.int64), np.array(r["x"]), e)) for e, r in enumerate(table)])
-    toxic = index.toxic
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                votes = shared.value.votes(part.num_rows, *shared.value.nearest(part.column(2).to_pylist(), part.column(0).to_numpy()))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(votes)], ["toxic", "vote"])
+
+    judged = spark.createDataFrame(rows).repartition(-(-rows.num_rows // BATCH)).mapInArrow(run, "toxic int, vote double").toArrow()
+    shared.destroy()
+    toxic, votes = judged["toxic"].to_numpy(), judged["vote"].to_numpy()
     which = np.clip((votes * BINS).astype(int), 0, BINS - 1)
     pools: list[list[float]] = []  # sum of votes, toxic, count
     for b in range(BINS):
         own = which == b
         if own.any():
-            pools.append([votes[own].sum(), toxic[own].sum(), own.sum()])
+            pools.append([np.sort(votes[own]).sum(), toxic[own].sum(), own.sum()])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
@@ -191,13 +236,17 @@ def scorer(spark, index: Index):
 
     @F.arrow_udf(FOUND)
     def run(texts: pa.Array) -> pa.Array:
-        own, scores, evidence, similarity = shared.value, [], [], []
-        for text in texts.to_pylist():
-            found, sims = own.nearest(*own.vector(text))
-            scores.append(own.probability(own.vote(found, sims)))
-            evidence.append(own.ids[found].tolist())
-            similarity.append(sims.tolist())
-        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(similarity, pa.list_(pa.float64()))], names=FOUND.names)
+        own, scores, places, sims, ends = shared.value, [], [], [], [np.zeros(1, np.int64)]
+        for at in range(0, len(texts), BATCH):
+            part = texts.slice(at, BATCH).to_pylist()
+            row, place, found = own.nearest(part)
+            scores.append(own.probabilities(own.votes(len(part), row, place, found)))
+            places.append(own.ids[place])
+            sims.append(found)
+            ends.append(ends[-1][-1] + np.cumsum(np.bincount(row, minlength=len(part))))
+        flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
+        ends = pa.array(np.concatenate(ends), pa.int32())
+        return pa.StructArray.from_arrays([flat(scores, pa.float64()), pa.ListArray.from_arrays(ends, flat(places, pa.int64())), pa.ListArray.from_arrays(ends, flat(sims, pa.float64()))], names=FOUND.names)
 
     return run
 
@@ -206,7 +255,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples), similarity for each row.
 
     Rows whose crc32(doc_id as text) mod folds is 0 are held out. Only texts enter a score. Labels for ids that docs
-    doesn't have, null labels and null ids teach nothing; without any label every score is one half.
+    doesn't have, null labels and null ids teach nothing; without any label every score is one half. Rows of one id are
+    scored each; as an example the smallest of their texts counts. Examples of equal similarity come by id.
     """
     run = scorer(docs.sparkSession, fit(docs, labels, doc_id, text, folds))
     scored = docs.select(F.col(doc_id).alias("doc_id"), (crc_bucket(F.col(doc_id), folds) == 0).alias("held_out"), run(F.col(text)).alias("r"))
