@@ -2,6 +2,8 @@ import random
 import tempfile
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import docs
 from tidemark.llm import mixing
 
@@ -47,13 +49,22 @@ def test_sources_keep_to_their_weights(spark):
     assert last >= 2
 
 
-def test_no_rows_and_too_many_sources(spark):
-    import pytest
-
+def test_no_rows_and_many_sources(spark):
     frame = docs(spark, ["a"] * 300, [f"s{i}" for i in range(300)]).select("doc_id", "source")
     assert mixing.mix(frame.limit(0)).collect() == []
-    with pytest.raises(ValueError):
-        mixing.mix(frame)
+    assert sorted(r.slot for r in mixing.mix(frame).collect()) == list(range(300))
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(i // 3, "a" if i % 2 else None, i, "x") for i in range(90)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, slot int, Phase string").withColumn("place", F.lit(None).cast("string"))
+    mixed = mixing.mix(frame)
+    assert mixed.columns == [*frame.columns, "_phase", "block", "_slot", "release", "deadline", "_place"]
+    found = mixed.collect()
+    assert sorted((r.doc_id, r.source or "", r.slot, r.Phase) for r in found) == sorted((a, b or "", c, d) for a, b, c, d in rows)
+    assert all(r.place is None and r.release <= r["_slot"] < r.deadline for r in found)
+    places = sorted((r["_slot"], r["_place"]) for r in found)
+    assert len(set(places)) == 90 and max(p for _, p in places) == 7
 
 
 def test_thirds_and_small_weights_stay_exact(spark):

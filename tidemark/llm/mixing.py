@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, fresh, ranked
 
 BLOCK_DOCS, EXPONENT = 8, 0.7
-#: Over so many sources mix asks the caller to group them, unless told otherwise; no step depends on the number.
-MAX_SOURCES = 200
 #: Rows that the task of the schedule hands on at once; blocks of one class that a row holds at most.
 BATCH, RUN = 1 << 15, 1 << 16
 
@@ -158,18 +156,16 @@ def _slots(spark, classes: list[tuple[int, int, int]]) -> DataFrame:
     return spark.range(0, 1 if classes else 0, 1, 1).mapInArrow(run, SLOTS)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", block_docs: int = BLOCK_DOCS, quantum: int | None = None, max_sources: int | None = MAX_SOURCES) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", block_docs: int = BLOCK_DOCS, quantum: int | None = None) -> DataFrame:
     """docs with phase, block (of its source), slot, release, deadline and place (of the document in its block).
 
     A null source counts as the empty name; repeated rows are each placed. weights names a weight over 0 for every
     source; None takes target_weights. With a quantum, given weights are first rounded to its parts. release and deadline
-    are slots, of the whole mixture. docs has to be stable. max_sources None takes any number of sources.
+    are slots, of the whole mixture. docs has to be stable. There may be any number of sources. A name that docs has
+    already stays docs' own; the new column gets underscores in front.
     """
     spark = docs.sparkSession
-    names = ("phase", "block", "slot", "release", "deadline", "place")
-    taken = {c.lower() for c in docs.columns} & set(names)
-    if taken:
-        raise ValueError(f"docs already has {sorted(taken)}")
+    phase, block, slot, release, deadline, place = fresh(docs, "phase", "block", "slot", "release", "deadline", "place")
     src, rank, own, turn = fresh(docs, "mix_source", "mix_rank", "mix_source_of", "mix_block_of")
     rows = docs.withColumn(src, F.coalesce(F.col(source), F.lit("")))
     sources = rows.groupBy(F.col(src).alias(own)).agg(F.count("*").alias("docs"))
@@ -186,8 +182,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str =
             raise ValueError("a quantum needs weights")
         sources = sources.withColumn("level", F.lit(0))
     sources = cut(sources)
-    if max_sources is not None and sources.limit(max_sources + 1).count() > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
     kinds = sorted((r["docs"], -1 if r["level"] is None else r["level"], r["members"]) for r in sources.groupBy("docs", "level").agg(F.count("*").alias("members")).collect())
     if any(level < 0 for _, level, _ in kinds):
         raise ValueError("a source without a weight")
@@ -201,9 +195,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str =
     numbers = spark.createDataFrame([(c, n, level) for c, (n, level, _) in enumerate(kinds)], "class int, docs long, level int")
     members = ranked(sources.join(F.broadcast(numbers), ["docs", "level"]), F.col("class"), [F.col(own)], "member").select(own, "class", "member")
     runs = cut(_slots(spark, classes)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("members") - 1)))
-    turns = runs.select("class", (F.col("from_member") + F.col("i")).alias("member"), F.col("block").alias(turn), "phase", (F.col("from_slot") + F.col("i")).alias("slot"), "release", "deadline")
-    turns = turns.join(members, ["class", "member"]).select(own, turn, "phase", "slot", "release", "deadline")
+    turns = runs.select("class", (F.col("from_member") + F.col("i")).alias("member"), F.col("block").alias(turn), F.col("phase").alias(phase), (F.col("from_slot") + F.col("i")).alias(slot), F.col("release").alias(release), F.col("deadline").alias(deadline))
+    turns = turns.join(members, ["class", "member"]).select(own, turn, phase, slot, release, deadline)
     ordered = ranked(rows, F.col(src), [F.xxhash64(doc_id), F.col(doc_id)], rank)
-    ordered = ordered.withColumn("block", F.floor(F.col(rank) / block_docs).cast("long"))
-    place = (F.col(rank) % block_docs).cast("long").alias("place")
-    return ordered.join(turns, (F.col(src) == F.col(own)) & (F.col("block") == F.col(turn))).select(*docs.columns, "phase", "block", "slot", "release", "deadline", place)
+    ordered = ordered.withColumn(block, F.floor(F.col(rank) / block_docs).cast("long"))
+    return ordered.join(turns, (F.col(src) == F.col(own)) & (F.col(block) == F.col(turn))).select(*docs.columns, phase, block, slot, release, deadline, (F.col(rank) % block_docs).cast("long").alias(place))
