@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, fresh
+from tidemark.llm.common import cut, fresh, values
 from tidemark.llm.components import components
 
 BYTES = 8
@@ -51,7 +51,7 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 @F.arrow_udf(T.LongType())
 def fingerprints(text: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(t or b"") for t in text.cast(pa.binary()).to_pylist()], pa.int64())
+    return pa.array([fingerprint(t or b"") for t in values(text.cast(pa.binary()))], pa.int64())
 
 
 def masks(bits: int) -> list[tuple[int, list[int]]]:
@@ -104,7 +104,7 @@ def links(found: DataFrame, bits: int = 2) -> DataFrame:
         raise ValueError("lists are built for two differing bits")
     kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bytes")) for i, (m, _) in enumerate(masks(bits))))
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = found.repartition(tasks, "fp").select("fp", F.explode(kinds).alias("p")).groupBy("p.kind", "p.bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    postings = found.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(kinds).alias("p")).groupBy("p.kind", "p.bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     pairs = postings.select("kind", "members").mapInArrow(_stars(bits), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])).distinct()
     xor = F.col("u").bitwiseXOR(F.col("v"))
     shared = sum(F.when(F.shiftrightunsigned(xor, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(BYTES))
@@ -112,13 +112,15 @@ def links(found: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, fp), one for each row of docs, and (fp, component_id, root), one for each fingerprint.
+    """Rows (doc_id, fp, key), one for each row of docs, and (fp, component_id, root), one for each fingerprint.
+
+    key is a hash of id and text.
 
     A null text counts as empty; texts without a word have the fingerprint zero and are linked like any other.
     Repeated rows stay. component_id is the smallest id of the component; null ids don't count, and it is null
     only if all ids are.
     """
-    base = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+    base = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(doc_id, text).alias("key")))
     nodes = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), bits))
     rooted = cut(nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
@@ -135,13 +137,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 2) -> DataFrame:
     """The rows of docs that stand for their near-duplicate group: those whose id is the group's smallest.
 
-    Of rows that share that id, the one with the smallest text hash stays; a group without any id keeps one row.
+    Of rows that share that id, the one with the smallest hash of id and text stays; of rows equal in both, any one. A
+    group without any id keeps one row. The choice is made on ids and hashes; the rows themselves move once, in the
+    join with the keys chosen, whose order the last step takes over.
     """
     from pyspark.sql import Window as W
 
-    fp, comp, root, rank = fresh(docs, "fp", "component_id", "root", "rank")
-    _, found = groups(docs, doc_id, text, bits)
-    found = found.select(F.col("fp").alias(fp), F.col("component_id").alias(comp), F.col("root").alias(root))
-    heads = docs.withColumn(fp, fingerprints(F.col(text))).join(found, fp).where(F.col(doc_id).eqNullSafe(F.col(comp)))
-    first = F.row_number().over(W.partitionBy(root).orderBy(F.xxhash64(text), F.col(fp)))
-    return heads.withColumn(rank, first).where(F.col(rank) == 1).drop(fp, comp, root, rank)
+    key, chosen, rank = fresh(docs, "key", "chosen", "rank")
+    base, found = groups(docs, doc_id, text, bits)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("first")
+    heads = base.select("fp", first).groupBy("fp").agg(F.min("first").alias("first"))
+    heads = heads.join(found, "fp").groupBy("root").agg(F.min("first")["key"].alias(chosen)).select(chosen).distinct()
+    rows = docs.withColumn(key, F.xxhash64(doc_id, text))
+    kept = rows.join(cut(heads), F.col(key) == F.col(chosen))
+    return kept.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(key))).where(F.col(rank) == 1).select(*docs.columns)
