@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space and the ASCII controls tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of one group that one task ranks.
+BUCKET_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -30,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def values(column: pa.Array, size: int = 256):
+    """A column's values as Python objects, of which few are there at a time, however long the texts are."""
+    for at in range(0, len(column), size):
+        yield from column.slice(at, size).to_pylist()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -61,16 +70,18 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def ranked(df: DataFrame, group: Column, order: list[Column], name: str, buckets: int = 64, bucket: Column | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: Column, order: list[Column], name: str, buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Add `name`: the row's rank from 0 within its group.
 
-    Rows of a group are dealt to `buckets` by a hash of the order columns, ranked there, and moved up by the
+    Rows of a group are dealt to `buckets` (default: 64, and more beyond BUCKET_ROWS rows each) by a hash of the order columns, ranked there, and moved up by the
     sizes of the buckets before, so a group that holds a third of all rows isn't sorted by one task. The order
     is by bucket, then by `order`. A given `bucket` (long, not null) that rises with the order makes it the order alone.
     df has to be stable (a table or a checkpoint), as it is read twice.
     """
     from pyspark.sql import Window as W
 
+    if buckets is None and bucket is None:
+        buckets = max(64, df.count() // BUCKET_ROWS)
     g, b, n = fresh(df, "rank_group", "rank_bucket", "rank_before")
     dealt = df.withColumn(g, group).withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket)
     sizes = dealt.groupBy(g, b).count()

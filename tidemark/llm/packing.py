@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import cut, ranked
+from tidemark.llm.common import cut, ranked, values
 
 CAPACITY, END_ID = 1024, 2
 #: Words whose ids a task remembers, and the longest of them.
-REMEMBERED, WORD = 150_000, 40
+REMEMBERED, WORD = 100_000, 40
 
 
 @cache
@@ -40,12 +40,12 @@ def encoder(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec["added_tokens"]]
-    whole = Tokenizer.from_file(path)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    del spec, byte_of, ranks
     known: dict[str, bytes] = {}
 
     def packed(ids: list[int]) -> bytes:
@@ -53,7 +53,7 @@ def encoder(path: str):
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
-            return packed(whole.encode(text, add_special_tokens=False).ids)
+            return packed(_whole(path).encode(text, add_special_tokens=False).ids)
         words = text.split(" ")
         if "" in words:
             return packed(fast.encode_ordinary(text))
@@ -69,9 +69,16 @@ def encoder(path: str):
                         known[words[k]] = out[k]
         return b"".join(out)
 
+    encode.forget = known.clear
     return encode
 
 
+@cache
+def _whole(path: str) -> Tokenizer:
+    """The file's own tokenizer, which takes much memory, for the texts that need it."""
+    return Tokenizer.from_file(path)
+
+
 def _cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole ones of the capacity, a shorter one first."""
     head = n % capacity or min(n, capacity)
@@ -92,13 +99,15 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         encode, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for i, t, *at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, t, *at in zip(*(values(c) for c in batch.columns), strict=True):
                 ids = encode(t or "") + end
                 for k, (s, n) in enumerate(_cuts(len(ids) // 4, capacity)):
                     own = ids[4 * s : 4 * (s + n)]
                     rows.append((i, k, s, n, zlib.crc32(own), own if with_ids else None, *at))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *(pa.int64() for _ in order))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], schema.names)
+        # the process stays for other work
+        encode.forget()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text), *order).mapInArrow(run, schema)
 

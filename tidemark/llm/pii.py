@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh
+from tidemark.llm.common import fresh, values
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "secret")
@@ -188,7 +188,7 @@ def _reports(with_text: bool):
     @F.arrow_udf(REPORT)
     def run(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in texts.to_pylist():
+        for text in values(texts):
             text = text or ""
             found = spans(text)
             base = [x for x in found if x[1] < len(BASE)]

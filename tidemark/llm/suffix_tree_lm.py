@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_bucket, cut
+from tidemark.llm.common import crc_bucket, cut, values
 
 END = 10  # a line break, which no word holds; DEPTH of them stand before a text
 DEPTH, MIN_SHARE, MIN_GAIN = 5, 1e-5, 10.0
@@ -46,7 +46,7 @@ def _count_words(batches):
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([count[w] for w in words], pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
+        for text in values(batch.column(0).cast(pa.binary())):
             count.update((text or b"").lower().split())
             if len(count) > GATHERED // 4:
                 yield out()
@@ -105,7 +105,7 @@ def _count_grams(batches):
         return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], ["code", "n"])
 
     for batch in batches:
-        for blob, starts in _stream(batch.column(0).cast(pa.binary()).to_pylist(), POSITIONS):
+        for blob, starts in _stream(values(batch.column(0).cast(pa.binary())), POSITIONS):
             held.append(_grams(blob, starts))
             total += len(held[-1][0])
             if total > GATHERED:

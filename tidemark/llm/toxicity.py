@@ -13,6 +13,7 @@ examples themselves, each judged without itself.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_bucket, fresh
+from tidemark.llm.common import crc_bucket, fresh, values
 
 #: Bounds of what is learnt from, and so of the index that every task gets.
 MAX_EXAMPLES, MAX_EXAMPLE_CHARS = 6000, 20_000
-K, BLOCK, DENSE, BATCH = 15, 128, 512, 256
+K, BLOCK, DENSE, BATCH = 15, 128, 512, 128
 BINS = 10
 #: Ends of words that aren't letters of them.
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
@@ -147,37 +148,54 @@ def _examples(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, folds:
     return rows.groupBy("ex_id").agg(F.max("ex_toxic").alias("ex_toxic"), F.min("ex_text").alias("ex_text")).toArrow().sort_by("ex_id")
 
 
-def document_frequencies(docs: DataFrame, text: str, terms: list[str]) -> tuple[int, dict[str, int]]:
-    """The number of all rows, and of those that hold each of the terms (which have a bound, as the examples do)."""
+def document_frequencies(docs: DataFrame, text: str, terms: dict[str, int]) -> tuple[int, np.ndarray]:
+    """The number of all rows, and by term of those that hold it (terms have a bound, as the examples do)."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
     def run(batches):
         found: Counter = Counter()
         for batch in batches:
             found[""] += batch.num_rows
-            for t in batch.column(0).to_pylist():
+            for t in values(batch.column(0)):
                 found.update(shared.value.intersection({w.strip(EDGES) for w in set((t or "").lower().split())}))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
 
     counted = docs.select(text).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
-    by = dict(zip(*(c.to_pylist() for c in counted.columns), strict=True))
-    return by.pop("", 0), by
+    n, df = 0, np.ones(len(terms))
+    for batch in counted.to_batches(1 << 15):
+        for term, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if term:
+                df[terms[term]] = count
+            else:
+                n = count
+    return n, df
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5) -> Index:
     rows = _examples(docs, labels, doc_id, text, folds)
-    ids, toxic, texts = rows["ex_id"].to_numpy(), rows["ex_toxic"].to_numpy().astype(np.float64), rows["ex_text"].to_pylist()
-    bags = [bag(t) for t in texts]
+    ids, toxic = rows["ex_id"].to_numpy(), rows["ex_toxic"].to_numpy().astype(np.float64)
     n, n_toxic = len(ids), int(toxic.sum())
-    by_examples = Counter(t for b in bags for t in b)
-    terms = {t: i for i, t in enumerate(sorted(by_examples, key=lambda t: (-by_examples[t], t)))}
-    n_docs, df = document_frequencies(docs, text, list(terms)) if terms else (0, {})
-    size = np.array([len(b) for b in bags], np.int64)
-    row, term = np.repeat(np.arange(n), size), np.array([terms[t] for b in bags for t in b], np.int64)
-    weight = np.log((n_docs + 1) / (np.array([df.get(t, 1) for t in terms]) + 0.5))
+    first: dict[str, int] = {}
+    sizes, term, tf = array("q"), array("q"), array("d")
+    for chunk in rows["ex_text"].chunks:
+        for t in values(chunk):
+            own = bag(t)
+            sizes.append(len(own))
+            term.extend(first.setdefault(w, len(first)) for w in own)
+            tf.extend(own.values())
+    size, term, tf = (np.array(v) for v in (sizes, term, tf))
+    row, often = np.repeat(np.arange(n), size), np.bincount(term, minlength=len(first))
+    # from here on terms are numbered by falling number of examples, then by name
+    names = sorted(first, key=lambda w: (-often[first[w]], w))
+    number = np.empty(len(names), np.int64)
+    number[[first.pop(w) for w in names]] = np.arange(len(names))
+    terms, term = {w: i for i, w in enumerate(names)}, number[term]
+    del names
+    n_docs, df = document_frequencies(docs, text, terms)
+    weight = np.log((n_docs + 1) / (df + 0.5))
     weight *= relevance(np.bincount(term, toxic[row], len(terms)), np.bincount(term, minlength=len(terms)), n_toxic, n)
-    row, term, x = normalised(row, term, np.array([k for b in bags for k in b.values()], np.float64), weight, n)
+    row, term, x = normalised(row, term, tf, weight, n)
 
     # neighbours lie in a block if they lean on the same frequent term and are of a size; padding has the id -1
     d, m = min(DENSE, len(terms)), -(-n // BLOCK) * BLOCK
