@@ -87,7 +87,10 @@ def test_nearest_are_exact(spark, monkeypatch, dense):
     index = toxicity.fit(docs(spark, texts), labels(spark, toxic))
     # the long text is over the bound of an example
     want = neighbours(texts, [None if len(t or "") > toxicity.MAX_EXAMPLE_CHARS else x for t, x in zip(texts, toxic, strict=True)])
-    row, place, sims = index.nearest(texts)
+    row, place, sims = index.nearest(*index.vectors(texts), len(texts))
+    n = sum(index.ids >= 0)
+    own = index.nearest(*index.own_vectors(0, n), n)
+    assert np.allclose(own[2][np.searchsorted(own[0], np.arange(n))], 1)
     for i in range(len(texts)):
         found = [(s, int(e)) for s, e in zip(sims[row == i], index.ids[place[row == i]], strict=True)]
         assert [e for _, e in found] == [e for _, e in want[i]], i

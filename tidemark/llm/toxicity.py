@@ -73,13 +73,19 @@ class Index:
             tf += own.values()
         return normalised(np.array(row, np.int64), np.array(term, np.int64), np.array(tf, np.float64), self.weight, len(texts))
 
-    def nearest(self, texts: list[str | None], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, place and cosine of each text's K most similar examples (over 0), nearest first, ties to smaller ids.
+    def own_vectors(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of the examples from place lo up to hi."""
+        term, row = np.nonzero(self.dense[:, lo:hi])
+        at = np.flatnonzero((self.examples >= lo) & (self.examples < hi))
+        rare = len(self.dense) + np.searchsorted(self.pointers, at, side="right") - 1
+        return np.append(row, self.examples[at] - lo), np.append(term, rare), np.append(self.dense[term, row + lo], self.weights[at])
 
-        own: ids of examples that the texts don't count as neighbours.
+    def nearest(self, row: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and cosine of each of n texts' K most similar examples (over 0), nearest first, ties to smaller ids.
+
+        row, term, x: the texts' vectors; own: ids of examples that the texts don't count as neighbours.
         """
-        row, term, x = self.vectors(texts)
-        n, m, d = len(texts), len(self.ids), len(self.dense)
+        m, d = len(self.ids), len(self.dense)
         often = term < d
         q = np.zeros((n, d))
         q[row[often], term[often]] = x[often]
@@ -185,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             term.extend(first.setdefault(w, len(first)) for w in own)
             tf.extend(own.values())
     size, term, tf = (np.array(v) for v in (sizes, term, tf))
+    del rows, sizes
     row, often = np.repeat(np.arange(n), size), np.bincount(term, minlength=len(first))
     # from here on terms are numbered by falling number of examples, then by name
     names = sorted(first, key=lambda w: (-often[first[w]], w))
@@ -214,24 +221,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     bounds = dense.reshape(d, m // BLOCK, BLOCK).max(axis=2) * 1.0001
     index = Index(terms, weight, dense, bounds, pointers, row[rest][by].astype(np.int32), x[rest][by], padded(ids, -1), padded(toxic, 0), (n_toxic + 0.5) / (n + 1))
     if n:
-        _calibrate(docs.sparkSession, index, rows)
+        _calibrate(docs.sparkSession, index, n)
     return index
 
 
-def _calibrate(spark, index: Index, rows: pa.Table) -> None:
+def _calibrate(spark, index: Index, n: int) -> None:
     """Bins of votes with their toxic share, made monotone by pooling; each example is judged without itself."""
     shared = spark.sparkContext.broadcast(index)
 
     def run(batches):
+        own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                votes = shared.value.votes(part.num_rows, *shared.value.nearest(part.column(2).to_pylist(), part.column(0).to_numpy()))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(votes)], ["toxic", "vote"])
+            for lo in batch.column(0).to_pylist():
+                hi = min(lo + BATCH, n)
+                votes = own.votes(hi - lo, *own.nearest(*own.own_vectors(lo, hi), hi - lo, own.ids[lo:hi]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi)), pa.array(votes)], ["place", "vote"])
 
-    judged = spark.createDataFrame(rows).repartition(-(-rows.num_rows // BATCH)).mapInArrow(run, "toxic int, vote double").toArrow()
+    judged = spark.range(0, n, BATCH, -(-n // BATCH)).mapInArrow(run, "place long, vote double").toArrow().sort_by("place")
     shared.destroy()
-    toxic, votes = judged["toxic"].to_numpy(), judged["vote"].to_numpy()
+    toxic, votes = index.toxic[:n], judged["vote"].to_numpy()
     which = np.clip((votes * BINS).astype(int), 0, BINS - 1)
     pools: list[list[float]] = []  # sum of votes, toxic, count
     for b in range(BINS):
@@ -257,7 +265,7 @@ def scorer(spark, index: Index):
         own, scores, places, sims, ends = shared.value, [], [], [], [np.zeros(1, np.int64)]
         for at in range(0, len(texts), BATCH):
             part = texts.slice(at, BATCH).to_pylist()
-            row, place, found = own.nearest(part)
+            row, place, found = own.nearest(*own.vectors(part), len(part))
             scores.append(own.probabilities(own.votes(len(part), row, place, found)))
             places.append(own.ids[place])
             sims.append(found)
