@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 SHARD, DEGREE, ALPHA, BUILD_BEAM, BEAM, EXPAND = 10_000, 32, 1.2, 64, 128, 4
-QUERY_BLOCK, BATCH = 512, 256
+#: Queries that meet a shard at once: about as many bytes as the shard's graph, so neither side's copies dominate.
+QUERY_BLOCK, BATCH = 16_384, 256
 NEAREST = 20
 
 
@@ -174,14 +175,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, vec_id: str
     per_dim = F.create_map(*(F.lit(x) for d, n in shards.items() for x in (d, n)))
     total = sum(shards.values())
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.element_at(per_dim, F.col("dim"))).cast("int"))
-    graphs = cut(dealt.repartition(total, "dim", "shard").groupBy("dim", "shard").applyInArrow(_graph(top), GRAPH))
+    # by ranges finer than a shard, so that no task gets two shards
+    graphs = cut(dealt.repartitionByRange(3 * total, "dim", "shard").groupBy("dim", "shard").applyInArrow(_graph(top), GRAPH))
 
     asked = usable(queries).distinct()
     wanted = cut(asked.select("v").distinct().select(F.monotonically_increasing_id().alias("qid"), "v", F.size("v").alias("dim")))
     blocks = -(-max(1, wanted.count()) // QUERY_BLOCK)
     block = wanted.groupBy("dim", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("qid", "v")).alias("queries"))
     everywhere = block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.element_at(per_dim, F.col("dim")) - 1))).where(F.col("dim").isin(list(shards)))
-    jobs = everywhere.join(graphs, ["dim", "shard"]).repartition(blocks * total, "block", "shard")
+    # a shard's graph is sent once for each block of queries, that is once while there are up to QUERY_BLOCK of them
+    jobs = everywhere.join(graphs, ["dim", "shard"]).repartition(3 * blocks * total, "dim", "block", "shard")
     found = jobs.mapInArrow(_search(k, top), "qid long, nid long, score double")
     best = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "nid"))
     found = found.withColumn("rn", best).where(F.col("rn") <= k + 1).drop("rn")
