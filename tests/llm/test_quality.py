@@ -34,3 +34,37 @@ def test_hosts(spark):
     assert not any(found[i].kept for i in range(33)) and all(found[i].kept for i in range(33, 63))
     assert found[65].kept and found[66].kept and found[0].host_rate < 30 / 33
     assert quality.judge(docs(spark, texts).limit(0)).collect() == []
+
+
+def test_a_suspect_host_has_the_narrow_limits(spark):
+    """The same half-bad text stays with hosts that rarely show it and goes with the one that often does."""
+    good = " ".join(f"word{i}" for i in range(80))
+    half = good + " ####"
+    texts, sources = [], []
+    for h in range(6):
+        bad = 12 if h == 0 else 1
+        texts += [half] * bad + [good] * (40 - bad)
+        sources += [f"h{h}"] * 40
+    found = {r.doc_id: r for r in quality.judge(docs(spark, texts, sources)).collect()}
+    assert not any(r.failed or r.host_falls for r in found.values())
+    assert not any(found[i].kept for i in range(12)) and all(found[i].kept for i in range(12, 240))
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = quality.judge(docs(spark, [TEXTS[10]] * 5 + [None] * 2, ids=[1] * 6 + [None])).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.base_failed) for r in rows) == [(0, 0, True), (1, 0, True)] + [(1, 80, False)] * 5
+
+
+def test_the_sql_is_the_query_and_hosts_decide(spark):
+    import duckdb
+
+    from tidemark.llm.queries import op6_quality
+
+    sf_dir = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    frame = op6_quality(spark, sf_dir)
+    got = sorted(tuple(r) for r in frame.collect())
+    assert got == sorted(con.execute(quality.ORACLE_SQL).df()[frame.columns].itertuples(index=False, name=None))
+    alone = quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), sure=1e9, max_host_rate=1.0)
+    assert 0 < sum(r.kept for r in alone.collect()) - sum(r[-1] for r in got) < 0.05 * len(got)

@@ -1,6 +1,9 @@
 """Quality rules by host: failures are added up by domain, rates shrunk by a beta prior, verdicts joined back.
 
-A host is what the table names as a document's source. All of it is DataFrame expressions.
+A host is what the table names as a document's source. A rule has a limit that no document may pass, and a narrower one.
+For each rule, a host's rate of documents beyond the narrow limit is shrunk to a beta prior fitted to all hosts; where it
+is over the prior's mean by more than SURE posterior standard deviations, the narrow limit holds for that host's
+documents. A host most of whose documents fail goes as a whole. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -11,11 +14,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACES, cut
 
 SYMBOLS = "#*$%&|<>"
-#: Rules beside the base: symbols a word, exclamation marks a word, share of repeated lines if
-#: there are more than a few, letters a word.
-MAX_SYMBOLS, MAX_MARKS, MAX_DUP_LINES, FEW_LINES, WORD_CHARS = 0.1, 0.5, 0.3, 2, (2.0, 25.0)
-#: A host falls if its shrunken failure rate is over this.
-MAX_HOST_RATE = 0.5
+#: Rules by what is counted, for a share of which no document may hold more, and one with a suspect host may not:
+#: symbols a word, exclamation marks a word, repeated lines a line (FEW_LINES are free), repeated words a word.
+RULES = {"symbols": ("n_symbols", "n_words", 0.1, 0.03), "marks": ("n_marks", "n_words", 0.5, 0.1), "lines": ("n_dup_lines", "n_lines", 0.3, 0.1), "repeats": ("n_repeat_words", "n_words", 0.5, 0.2)}
+FEW_LINES, WORD_CHARS = 2, (2.0, 25.0)
+#: A host falls if its shrunken failure rate is over this; it is suspect by a rule as told above.
+MAX_HOST_RATE, SURE = 0.5, 1.0
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -64,36 +68,54 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
 
 
 def rules(measured: DataFrame) -> DataFrame:
-    """Add base_failed and failed (the base or any other rule)."""
+    """Add base_failed, failed (the base or any limit) and for each rule near_<rule> (beyond its narrow limit)."""
+    beyond = lambda count, of, limit: F.col(count) > F.greatest(F.lit(FEW_LINES if count == "n_dup_lines" else 0), limit * F.col(of))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    more = (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")) | (F.col("n_marks") > MAX_MARKS * F.col("n_words")) | (F.col("n_dup_lines") > F.greatest(F.lit(FEW_LINES), MAX_DUP_LINES * F.col("n_lines")))
     length = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
-    return measured.withColumn("base_failed", base).withColumn("failed", base | more | ~length.between(*WORD_CHARS))
+    failed = base | ~length.between(*WORD_CHARS)
+    for count, of, limit, _ in RULES.values():
+        failed = failed | beyond(count, of, limit)
+    near = {f"near_{name}": beyond(count, of, limit) for name, (count, of, _, limit) in RULES.items()}
+    return measured.withColumns({"base_failed": base, "failed": failed, **near})
 
 
-def hosts(ruled: DataFrame) -> DataFrame:
-    """host, host_docs, host_failed, host_rate: the rate shrunk to an empirical beta prior by the method of moments.
+def hosts(ruled: DataFrame, sure: float = SURE) -> DataFrame:
+    """host, host_docs, host_failed, host_rate and for each rule suspect_<rule>.
 
-    With fewer than two hosts, or hosts that don't differ, the prior is the mean with the weight of one document.
+    Rates are shrunk to an empirical beta prior by the method of moments; with fewer than two hosts, or hosts that
+    don't differ, the prior is the mean with the weight of one document.
     """
-    by = ruled.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    prior = by.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v")).first()
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
-    k = m * (1 - m) / v - 1 if 0 < v < m * (1 - m) else 1.0
-    return by.withColumn("host_rate", (F.col("host_failed") + m * k) / (F.col("host_docs") + k))
-
-
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    events = {"failed": "failed", **{name: f"near_{name}" for name in RULES}}
+    by = ruled.groupBy("host").agg(F.count("*").alias("host_docs"), *(F.sum(F.col(c).cast("long")).alias(f"n_{name}") for name, c in events.items()))
+    rates = {name: F.col(f"n_{name}") / F.col("host_docs") for name in events}
+    prior = by.agg(*(x for name, r in rates.items() for x in (F.avg(r).alias(f"m_{name}"), F.var_samp(r).alias(f"v_{name}")))).first()
+    shrunk, suspect = {}, {}
+    for name in events:
+        m, v = prior[f"m_{name}"] or 0.0, prior[f"v_{name}"] or 0.0
+        k = m * (1 - m) / v - 1 if 0 < v < m * (1 - m) else 1.0
+        shrunk[name] = p = (F.col(f"n_{name}") + m * k) / (F.col("host_docs") + k)
+        suspect[name] = p - m > sure * F.sqrt(p * (1 - p) / (F.col("host_docs") + k + 1))
+    return by.select("host", "host_docs", F.col("n_failed").alias("host_failed"), shrunk["failed"].alias("host_rate"), *(suspect[name].alias(f"suspect_{name}") for name in RULES))
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE, sure: float = SURE) -> DataFrame:
     """The measures of every row with base_failed, failed, host_rate and kept.
 
-    A row is kept if it fails no rule itself and its host's shrunken rate is at most max_host_rate. Texts without
-    words fail the base. The counts are written once, then read for the hosts and for the verdicts.
+    A row is kept if it fails no limit, isn't beyond a narrow one by which its host is suspect, and its host's shrunken
+    failure rate is at most max_host_rate. Texts without words fail the base; repeated rows are judged and counted each.
+    The counts are written once, then read for the hosts and for the verdicts.
     """
     ruled = cut(rules(measures(docs, doc_id, text, host)))
     # written first, so that a host with a third of all rows can be split in the join
-    verdicts = cut(hosts(ruled).select("host", "host_rate", (F.col("host_rate") > max_host_rate).alias("host_falls")))
-    return ruled.join(verdicts, "host").withColumn("kept", ~F.col("failed") & ~F.col("host_falls"))
+    verdicts = cut(hosts(ruled, sure).withColumn("host_falls", F.col("host_rate") > max_host_rate).drop("host_docs", "host_failed"))
+    kept = ~F.col("failed") & ~F.col("host_falls")
+    for name in RULES:
+        kept = kept & ~(F.col(f"near_{name}") & F.col(f"suspect_{name}"))
+    return ruled.join(verdicts, "host").withColumn("kept", kept)
+
+
+def _beyond(count: str, of: str, limit: float) -> str:
+    return f"{count} > greatest({FEW_LINES if count == 'n_dup_lines' else 0}, {limit} * {of})"
 
 
 ORACLE_SQL = rf"""
@@ -116,11 +138,13 @@ counted as (
   from base b left join covered c using (doc_id)),
 ruled as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-    n_symbols > {MAX_SYMBOLS} * n_words or n_marks > {MAX_MARKS} * n_words or n_dup_lines > greatest({FEW_LINES}, {MAX_DUP_LINES} * n_lines)
-      or word_chars / greatest(n_words, 1) not between {WORD_CHARS[0]} and {WORD_CHARS[1]} as more from counted),
-by_host as (select host, count(*) as n, sum(cast(base_failed or more as int)) as f from ruled group by host),
-prior as (select avg(f / n) as m, var_samp(f / n) as v from by_host),
-verdict as (select host, (f + m * k) / (n + k) > {MAX_HOST_RATE} as falls
-  from by_host, (select m, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1.0 end as k from prior))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or more) and not falls as kept
+    n_words < 50 or word_chars / greatest(n_words, 1) not between {WORD_CHARS[0]} and {WORD_CHARS[1]} or 100 * n_repeat_words > 50 * n_words
+      or {" or ".join(_beyond(c, of, limit) for c, of, limit, _ in RULES.values())} as near_failed,
+    {", ".join(f"{_beyond(c, of, limit)} as near_{name}" for name, (c, of, _, limit) in RULES.items())} from counted),
+by_host as (select host, rule, count(*) as n, sum(cast(hit as int)) as f
+  from (select host, unnest(['failed', {", ".join(f"'{name}'" for name in RULES)}]) as rule, unnest([near_failed, {", ".join(f"near_{name}" for name in RULES)}]) as hit from ruled) group by host, rule),
+prior as (select rule, m, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1.0 end as k from (select rule, avg(f / n) as m, var_samp(f / n) as v from by_host group by rule)),
+shrunk as (select host, rule, n, m, k, (f + m * k) / (n + k) as p from by_host join prior using (rule)),
+verdict as (select host, bool_or(rule = 'failed' and p > {MAX_HOST_RATE}) as falls, {", ".join(f"bool_or(rule = '{name}' and p - m > {SURE} * sqrt(p * (1 - p) / (n + k + 1))) as suspect_{name}" for name in RULES)} from shrunk group by host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not near_failed and not falls and not ({" or ".join(f"near_{name} and suspect_{name}" for name in RULES)}) as kept
 from ruled join verdict using (host)"""
