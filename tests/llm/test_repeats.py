@@ -32,10 +32,28 @@ def test_against_all_windows(spark):
 
 
 def test_grams_with_many_pieces(spark, monkeypatch):
+    from tidemark.llm import common
+
     monkeypatch.setattr(repeats, "LOCAL", 2)
+    # a few keys are looked up without a shuffle, the others with one
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     check(spark, corpus())
 
 
+def test_passages_just_under_and_over_the_length(spark):
+    """Passages of over 50 words go only if they reach the length in bytes."""
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = words(58)
+    assert len(passage) == 405
+    texts = [f"{words(5)} #{k}# {passage[: 405 - 2 * k]} #{k}# {words(5)}" for k in (0, 1, 2, 3, 4, 5)]
+    rows = {x.doc_id: x.n_removed for x in repeats.digests(repeats.remove(docs(spark, texts))).collect()}
+    # each shares its passage and the two characters before it: 405 - 2 * k + 2 bytes
+    assert [rows[k] >= 400 for k in range(6)] == [True] * 4 + [False] * 2 and rows[4] == rows[5] == 0
+    check(spark, texts)
+
+
 def test_texts_cut_into_parts(spark, monkeypatch):
     # tasks run in other processes, so the parts are looked at here
     monkeypatch.setattr(repeats, "PART", 300)

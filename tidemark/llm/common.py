@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of one group that one task ranks.
 BUCKET_ROWS = 500_000
+#: Keys of a join that are looked up without a shuffle at most, and the rows that such a key has at least.
+HOT_KEYS, HOT_ROWS = 1000, 10_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -70,6 +72,19 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with table, whose keys are unique and whose column n says how many rows of rows have the key.
+
+    The HOT_KEYS keys with the most rows are broadcast, so rows of a key with a third of all stay where they are, and
+    those of the other keys meet in a shuffle in which no key has over a HOT_KEYS-th of all. Both sides are read twice.
+    """
+    (hot,) = fresh(rows, "hot")
+    most = table.where(F.col(n) >= HOT_ROWS).orderBy(F.desc(n), *on).limit(HOT_KEYS).withColumn(hot, F.lit(True))
+    marked = rows.join(F.broadcast(most.select(*on, hot)), on, "left")
+    there = rows.join(F.broadcast(most.drop(hot)), on)
+    return there.unionByName(marked.where(F.col(hot).isNull()).drop(hot).join(table, on))
+
+
 def ranked(df: DataFrame, group: Column, order: list[Column], name: str, buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Add `name`: the row's rank from 0 within its group.
 

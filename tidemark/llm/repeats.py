@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, ensure_checkpoint_dir
+from tidemark.llm.common import cut, ensure_checkpoint_dir, join_counted
 
 LENGTH, GRAM, LOCAL = 400, 64, 1000
 #: Window starts that are looked at together; a longer text is cut into such parts, which costs no match.
@@ -223,21 +223,20 @@ def repeated(rows: DataFrame) -> DataFrame:
     """From rows (id, text, tk, n, z) the runs [s, e) of repeated window starts, (id, tk, s, e); runs may meet."""
     found = _written(rows.select("id", "text").mapInArrow(_pieces, PIECE))
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
-    # written first, so that a gram with a third of all pieces can be split in the join
-    grams = cut(grams.where("n > 1").select("gram", (F.col("lo") < F.col("hi")).alias("mixed")))
-    seen = _written(found.join(grams, "gram"))
+    grams = cut(grams.where("n > 1").select("gram", "n", (F.col("lo") < F.col("hi")).alias("mixed")))
+    seen = _written(join_counted(found, grams, ["gram"], "n").drop("n"))
     plain = seen.where(~F.col("mixed")).select("id", "tk", "s", "e")
     mixed = seen.where("mixed")
     contexts = cut(mixed.groupBy("gram", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("id", "tk", "s", "e", "a")).alias("ref")))
-    copies = mixed.join(contexts.where("m > 1").select("gram", "ctx"), ["gram", "ctx"]).select("id", "tk", "s", "e")
+    copies = join_counted(mixed, contexts.where("m > 1").select("gram", "ctx", "m"), ["gram", "ctx"], "m").select("id", "tk", "s", "e")
     sizes = cut(contexts.groupBy("gram").agg(F.count("*").alias("k")).select("gram", (F.col("k") > LOCAL).alias("large")))
     asked = contexts.join(sizes, "gram").select("gram", "large", "ref.*", (F.col("m") == 1).alias("ask"))
     asked = asked.groupBy("id", "tk").agg(F.collect_set(F.struct("gram", "large", "s", "e", "a", "ask")).alias("asked"))
     texts = cut(rows.select("id", "tk", "n", "z").join(asked, ["id", "tk"]).mapInArrow(_questions, QUESTION))
     near = texts.where(~F.col("large")).groupBy("gram").applyInArrow(_compare, COVER)
     far = texts.where("large").mapInArrow(_spread, "gram long, id long, tk long, ask boolean, s int, d int, h long")
-    twice = far.groupBy("gram", "d", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    far = far.where("ask").join(twice, ["gram", "d", "h"]).select("id", "tk", "s", (F.col("s") + 1).alias("e"))
+    twice = cut(far.groupBy("gram", "d", "h").agg(F.count("*").alias("n")).where("n > 1"))
+    far = join_counted(far.where("ask"), twice, ["gram", "d", "h"], "n").select("id", "tk", "s", (F.col("s") + 1).alias("e"))
     return plain.unionByName(copies).unionByName(near).unionByName(far)
 
 
