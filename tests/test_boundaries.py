@@ -83,3 +83,53 @@ def test_merged_groups_take_the_smallest_name(spark):
 def test_empty_tables(spark):
     none = boxes(spark, (1, 0, 0, 1, 1, 1)).limit(0)
     assert tools.nearest_pair(none).collect() == [] and matching.greedy(matching.candidates(none, none)).collect() == []
+
+
+def test_places_of_rows(spark):
+    from tidemark.functions.ordering import numbered
+
+    rows = spark.createDataFrame([(g, k) for g in "ab" for k in (5, 3, 99, 12, 11, 40)], "g string, k long")
+    got = {(r.g, r.k): r.n for r in numbered(rows, ["g"], F.floor(F.col("k") / 10), ["k"], "n").collect()}
+    assert got == {(g, k): i for g in "ab" for i, k in enumerate(sorted([5, 3, 99, 12, 11, 40]), 1)}
+
+
+def test_streams_drop_repeats_and_late_records(spark, tmp_path):
+    from datetime import datetime
+
+    from tidemark.streaming import records
+
+    def put(name, *rows):
+        frame = spark.createDataFrame([(i, datetime(2024, 1, d, h), "x") for i, d, h in rows], "event_id long, ts timestamp, event_type string")
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+
+    def run():
+        schema = "event_id long, ts timestamp, event_type string"
+        frame = spark.readStream.schema(schema).parquet(f"{tmp_path}/events.parquet")
+        found = records.drained(spark, records.daily(frame), "append", f"{tmp_path}/stream")
+        return {r.window.start.day: r.n for r in found.collect()}
+
+    put("a", (1, 1, 3), (2, 1, 4), (1, 1, 3), (3, 2, 1), (4, 3, 12))
+    assert run() == {1: 2}
+    # record 3 again, one for a day that is over, one that is late but not too late
+    put("b", (3, 2, 1), (5, 1, 9), (6, 2, 20), (7, 9, 1))
+    assert run() == {1: 2, 2: 2, 3: 1}
+
+
+def test_classification_of_written_records(spark):
+    """JSON that isn't there or isn't JSON, a misread result, a value from nowhere, a call before its source, a slip."""
+    from tidemark.operators import classify
+
+    gold = F.struct(F.lit("count").alias("target"), F.lit("full").alias("region"), F.lit(None).cast("string").alias("filters"), F.lit("count").alias("unit"))
+    calls = """[{"turn":1,"call_id":"c1","tool":"detect","arg":0,"value":7},{"turn":2,"call_id":"c2","tool":"calc","arg":5,"ref":"$c1.value","value":9},{"turn":3,"call_id":"c3","tool":"calc","arg":1,"error":"no such call or variable 'c4'","value":3}]"""
+    rows = [
+        (1, '{"target":"count","region":"full","unit":"px"}', calls, '[{"turn":1,"source":"$c1","field":"value","value":8},{"turn":2,"source":"$c9","field":"value","value":9}]', '[{"turn":2,"condition_from":"$c1.value","condition_value":7,"chosen":"else"}]', True, 8, "count", True),
+        (2, '{"target":"si', None, "[", "[]", False, None, None, True),
+    ]
+    frame = spark.createDataFrame(rows, "qid long, interpretation string, calls string, readings string, decisions string, has_answer boolean, answer_value int, answer_unit string, format_ok boolean")
+    runs = classify.parsed(frame).withColumns({"gold": gold, "has_branch": F.lit(True), "gold_branch": F.lit("then"), "reachable": F.lit(9), "gold_calcs": F.array(F.lit(5)), "final_turn": F.lit(3)})
+    kinds = lambda df: sorted((r.qid, r.turn, r.kind, r.harmless) for r in df.collect())
+    assert sorted(tuple(r) for r in classify.differences(runs).collect()) == [(1, "", "unit"), (2, "target", "region,unit")]
+    assert kinds(classify.stage3(runs)) == [(1, 1, "reading_mismatch", False), (1, 2, "reading_source_missing", True)]
+    assert kinds(classify.stage4(runs)) == [(1, 2, "wrong_branch", False), (1, 3, "order_error", False)]
+    assert kinds(classify.stage5(runs)) == [(1, 3, "extra_calc", True)]
+    assert kinds(classify.stage6(runs)) == [(1, 3, "transcription", False)]

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.graphs import components
 from tidemark.sources import entities as E
 from tidemark.sources.entities import table, with_entities
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Differing bits of near duplicates, bands that leave one untouched, seeds that are tried.
-BITS, BANDS, SEEDS = 4, 5, 200
+#: Differing bits of near duplicates, seeds that are tried; bands, of which three of nine bits make a key.
+BITS, BANDS, SEEDS = 4, 7, 200
 DECK = ("test", "dev", "test", "dev", "test")
 
 
@@ -40,16 +43,9 @@ def identical_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that links lead to. Labels are passed on until none changes."""
-    both = edges.select(F.col("a"), F.col("b")).union(edges.select(F.col("b"), F.col("a"))).distinct().cache()
-    labels, before = nodes.select(F.col("node"), F.col("node").alias("root")), None
-    while True:
-        heard = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("root").alias("heard"))
-        labels = labels.join(heard, "node", "left").select("node", F.least("root", F.coalesce("heard", "root")).alias("root")).cache()
-        state = labels.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()[0]
-        if state == before:
-            return labels
-        before = state
+    """node, root: the smallest node that links lead to, itself if there is none smaller; see components for the rounds."""
+    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return nodes.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 @query(
@@ -92,13 +88,22 @@ def dhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near(hashes: DataFrame, bits: int = BITS, bands: int = BANDS, width: int = 60) -> DataFrame:
-    """Pairs a < b of at most `bits` differing bits: with more bands than that one is equal, so bands are the join key."""
+    """Pairs a < b of at most `bits` differing bits.
+
+    All but `bits` of the bands agree in such a pair, so so many bands together are the join key, once for each choice of
+    them. Different hashes are joined; what has the same hash is brought in at the end, when only results are left.
+    """
     each = -(-width // bands)
-    band = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("b", k * each).bitwiseAND(F.lit((1 << each) - 1)).alias("v")) for k in range(bands)))).alias("band")
-    h = hashes.select("vec_id", "b", band)
+    masks = [sum(((1 << each) - 1) << k * each for k in kept) for kept in combinations(range(bands), bands - bits)]
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("b").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)))
+    h = hashes.select("b").distinct().select("b", F.explode(kinds).alias("key"))
     x, y = h.alias("x"), h.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.vec_id") < F.col("y.vec_id")))
-    return pairs.where(F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= bits).select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")))
+    pairs = pairs.where(F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= bits).select(F.col("x.b").alias("b"), F.col("y.b").alias("c")).distinct()
+    other = hashes.select(F.col("vec_id").alias("other"), F.col("b").alias("c"))
+    found = hashes.join(pairs, "b").join(other, "c").select(F.least("vec_id", "other").alias("a"), F.greatest("vec_id", "other").alias("b"))
+    same = hashes.alias("h").join(other, (F.col("h.b") == F.col("c")) & (F.col("vec_id") < F.col("other"))).select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
+    return found.unionByName(same)
 
 
 @query(f"with {_BITS} select x.vec_id as a, y.vec_id as b from bits x join bits y on x.vec_id < y.vec_id and bit_count(cast(xor(cast(x.b as bigint), cast(y.b as bigint)) as bigint)) <= 4")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
+from tidemark.functions.ordering import numbered
 from tidemark.operators import matching, perturb
 from tidemark.operators.matching import _WITH
 from tidemark.operators.perturb import _FIX, _U
@@ -135,8 +136,9 @@ def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order within each priority group: questions shuffled, conditions shuffled inside a question."""
     m = questions(spark, sf_dir).join(F.broadcast(conditions(spark)), F.lit(True)).withColumn("run_id", F.substring(F.sha2(F.concat_ws("|", "cond", "qid", "repeat"), 256), 1, 16))
-    w = W.partitionBy("prio").orderBy(F.md5("qid"), F.md5(F.concat_ws("|", "qid", "cond")), "cond")
-    return m.select("run_id", F.row_number().over(w).cast("long").alias("run_index"), "prio")
+    m = m.withColumn("shuffled", F.md5("qid"))
+    order = ["shuffled", F.md5(F.concat_ws("|", "qid", "cond")), "cond"]
+    return numbered(m, ["prio"], F.substring("shuffled", 1, 4), order, "run_index").select("run_id", "run_index", "prio")
 
 
 @query(f"{_RUNS} select run_id, reachable from runs")

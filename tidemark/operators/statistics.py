@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
+from tidemark.functions.ordering import numbered
 from tidemark.sources import entities as E
 from tidemark.sources.entities import table, with_entities
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 SAMPLE, PER_STRATUM, DRAWS = 300, 20, 200
+#: Keys of a table that one task puts in order.
+BUCKET_KEYS = 100_000
 
 
 def query(sql: str):
@@ -121,8 +124,9 @@ def question_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select 'T-' || (o_orderkey % 5 + 1) || '-' || printf('%06d', row_number() over (partition by o_orderkey % 5 order by o_orderkey)) as qid, o_orderkey as image_id from orders")
 def assign_qids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    r = F.row_number().over(W.partitionBy(k % 5).orderBy(k))
-    return table(spark, sf_dir, "orders").select(F.format_string("T-%d-%06d", k % 5 + 1, r).alias("qid"), k.alias("image_id"))
+    # keys are unique, so a bucket has no more rows than it spans keys
+    rows = numbered(table(spark, sf_dir, "orders").select((k % 5 + 1).alias("level"), k), ["level"], F.floor(k / BUCKET_KEYS), [k], "r")
+    return rows.select(F.format_string("T-%d-%06d", "level", "r").alias("qid"), k.alias("image_id"))
 
 
 @query("with e as (select user_id, ts, event_type, lag(event_type) over (partition by user_id order by ts, event_type, value) as before from events) select user_id, count(*) as changes from e where before is not null and before <> event_type group by user_id")
@@ -145,9 +149,9 @@ def kappa_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap by rows, order statistics as bounds; draws are counted by row, so each replicate is a sum of counts."""
     labels = table(spark, sf_dir, "labels")
     g = labels.count()
-    ranked = labels.select((F.row_number().over(W.orderBy("doc_id")) - 1).cast("long").alias("k"), "quality", "toxic")
+    ranked = numbered(labels, [], F.floor(F.col("doc_id") / BUCKET_KEYS), ["doc_id"], "k").select((F.col("k") - 1).alias("k"), "quality", "toxic")
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "j").cast("binary")), 1, 8), 16, 10).cast("long") % max(1, g)
-    draws = spark.range(DRAWS).withColumnRenamed("id", "b").select("b", F.explode(F.sequence(F.lit(0), F.lit(max(1, g) - 1))).alias("j")).select("b", pick.alias("k")).groupBy("b", "k").agg(F.count("*").alias("c"))
+    draws = spark.range(DRAWS * g).select((F.col("id") % DRAWS).alias("b"), F.floor(F.col("id") / DRAWS).alias("j")).select("b", pick.alias("k")).groupBy("b", "k").agg(F.count("*").alias("c"))
     s = lambda cond: F.sum(F.when(cond, F.col("c")).otherwise(0))
     c = draws.join(ranked, "k").groupBy("b").agg(F.sum("c").alias("n"), s(F.col("quality") == F.col("toxic")).alias("same"), s(F.col("quality") == 1).alias("a1"), s(F.col("toxic") == 1).alias("b1"))
     po, pe = kappa_columns()
