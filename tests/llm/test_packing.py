@@ -56,3 +56,16 @@ def test_plan_is_near_the_least():
         large = sum(c for n, c in histogram.items() if n > 512)
         least = max(large, -(-sum(n * c for n, c in histogram.items()) // 1024))
         assert len(fill) <= 1.15 * least + 1
+
+
+def test_repeated_and_null_ids(spark):
+    texts = ["some words of a text " * 300] * 4 + [None]
+    rows = packing.pack_documents(docs(spark, texts, ids=[5, 5, None, None, 5]), PATH).collect()
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+    each = Counter((r.doc_id, r.piece, r.start, r.length) for r in rows)
+    assert sum(r.length for r in rows) == 4 * sum(n for (i, _, _, n), c in each.items() if i is None and c == 2) + 1

@@ -79,3 +79,12 @@ def test_nothing_to_learn_from(spark):
     rows = lm.score(docs(spark, ["a b", None, ""], ids=held)).collect()
     assert [r.base_score for r in rows] == [0.0] * 3 and all(r.score < 0 and r.train_tokens == 0 for r in rows)
     assert lm.score(docs(spark, ["a"]).limit(0)).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    ids = [None, None, 7, 7, 7]
+    rows = lm.score(docs(spark, ["the cat", None, "the cat", "the cat", "a dog"], ids=ids)).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 0, 7, 7, 7]
+    assert {r.held_out for r in rows if r.doc_id is None} == {crc(None) % 7 == 2}
+    same = {(r.doc_id, r.n_tokens): (round(r.base_score, 9), round(r.score, 9)) for r in rows}
+    assert sorted(r.n_tokens for r in rows) == [1, 3, 3, 3, 3] and len({v for (i, n), v in same.items() if n == 3}) == 2

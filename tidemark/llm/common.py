@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import cut, ensure_checkpoint_dir
+
+__all__ = ["crc_bucket", "cut", "ensure_checkpoint_dir", "fresh", "in_file_order", "join_counted", "ranked", "read", "values"]
 #: Characters that separate words: space and the ASCII controls tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of one group that one task ranks.
@@ -16,25 +17,6 @@ BUCKET_ROWS = 500_000
 HOT_KEYS, HOT_ROWS = 1000, 10_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where the driver is the whole cluster."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if not context.getCheckpointDir():
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return folder or context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def values(column: pa.Array, size: int = 256):
     """A column's values as Python objects, of which few are there at a time, however long the texts are."""
     for at in range(0, len(column), size):
