@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.shared import cut, ensure_checkpoint_dir
 
-__all__ = ["crc_bucket", "cut", "ensure_checkpoint_dir", "fresh", "in_file_order", "join_counted", "ranked", "read", "values"]
+__all__ = ["crc_bucket", "cut", "ensure_checkpoint_dir", "fresh", "in_file_order", "join_counted", "ranked", "read", "slices", "values"]
 #: Characters that separate words: space and the ASCII controls tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 #: Rows of one group that one task ranks.
@@ -23,6 +23,13 @@ def values(column: pa.Array, size: int = 256):
         yield from column.slice(at, size).to_pylist()
 
 
+def slices(batches, size: int = 512):
+    """Arrow batches in parts of a few rows, so that what is made of a part is small too; none for an empty batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, ensure_checkpoint_dir, join_counted
+from tidemark.llm.common import cut, ensure_checkpoint_dir, join_counted, slices, values
 
 LENGTH, GRAM, LOCAL = 400, 64, 1000
 #: Window starts that are looked at together; a longer text is cut into such parts, which costs no match.
@@ -86,7 +86,7 @@ PIECE = "id long, tk long, s int, e int, a int, gram long, ctx long"
 def _pieces(batches):
     names = [f.split()[0] for f in PIECE.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    for batch in batches:
+    for batch in slices(batches):
         columns: list[list] = [[] for _ in names]
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             if not text or len(text) < LENGTH:
@@ -115,8 +115,12 @@ PACKED = T.StructType([T.StructField("tk", T.LongType()), T.StructField("n", T.L
 @F.arrow_udf(PACKED)
 def _packed(texts: pa.Array) -> pa.Array:
     """A text's key, its length in bytes, and the text compressed for the shuffle."""
-    raw = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([key_of(t) for t in raw], pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array([pa.compress(t, CODEC, asbytes=True) for t in raw], pa.binary())], names=PACKED.names)
+    keys, sizes, packed = [], [], []
+    for t in values(texts.cast(pa.binary())):
+        keys.append(key_of(t or b""))
+        sizes.append(len(t or b""))
+        packed.append(pa.compress(t or b"", CODEC, asbytes=True))
+    return pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=PACKED.names)
 
 
 def _text(n: int, z: bytes) -> bytes:
@@ -130,7 +134,7 @@ def _questions(batches):
     """From rows (id, tk, n, z, asked) one row for each piece asked for, with its text."""
     names = [f.split()[0] for f in QUESTION.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for i, tk, n, z, asked in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             text = _text(n, z)
@@ -177,9 +181,7 @@ def _compare(table: pa.Table) -> pa.Table:
 
 def _spread(batches):
     """The windows of pieces as rows, for grams with too many pieces for one group."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in slices(batches):
         row, start, distance, h = _windows(batch)
         own = [batch.column(k).take(pa.array(row)) for k in ("gram", "id", "tk", "ask")]
         yield pa.RecordBatch.from_arrays([*own, pa.array(start, pa.int32()), pa.array(distance, pa.int32()), pa.array(h.view(np.int64))], ["gram", "id", "tk", "ask", "s", "d", "h"])
@@ -201,7 +203,7 @@ def merged(covers) -> list[tuple[int, int]]:
 
 
 def _kept(batches):
-    for batch in batches:
+    for batch in slices(batches):
         doc_id, sizes = batch.column(0), batch.column(1).to_pylist()
         spans, kept = [], []
         for n, z, covers in zip(sizes, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
