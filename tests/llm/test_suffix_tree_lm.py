@@ -88,3 +88,73 @@ def test_null_and_repeated_ids(spark):
     assert {r.held_out for r in rows if r.doc_id is None} == {crc(None) % 7 == 2}
     same = {(r.doc_id, r.n_tokens): (round(r.base_score, 9), round(r.score, 9)) for r in rows}
     assert sorted(r.n_tokens for r in rows) == [1, 3, 3, 3, 3] and len({v for (i, n), v in same.items() if n == 3}) == 2
+
+
+def plain_gains(model, counts):
+    """Each word's gain from long contexts, by a table of all of them."""
+
+    def below(context, symbol):
+        state = 0
+        for b in context[-lm.DEPTH :]:
+            state = model.next_state[state, model.classes[b]]
+        p = 10.0 ** model.log_p[state].astype(float)
+        return p[model.classes[32]] + p[model.classes[lm.END]] if symbol == lm.STOP else p[model.classes[symbol]]
+
+    def steps(word):
+        return [(word[:k], word[k] if k < len(word) else lm.STOP) for k in range(lm.DEPTH, min(len(word), lm.DEEPEST) + 1)]
+
+    table: dict = {}
+    for word, n in counts.items():
+        for context, symbol in steps(word) if n else ():
+            table.setdefault(context, Counter())[symbol] += n
+    kept = set()
+    for context, n in table.items():
+        total = sum(n.values())
+        worth = sum(x * math.log(x / total / below(context, s)) for s, x in n.items())
+        if total >= lm.MIN_COUNT and worth > lm.DEEP_GAIN:
+            kept.add(context)
+    gains = {}
+    for word in counts:
+        gains[word] = 0.0
+        for context, symbol in steps(word):
+            if context in kept:
+                n, p = table[context], below(context, symbol)
+                gains[word] += math.log10((n[symbol] + len(n) * p) / (n.total() + len(n)) / p)
+    return gains, kept
+
+
+def test_long_contexts_over_many_ranges(spark, monkeypatch):
+    # a third of the words start alike, and more than one range holds them; some only texts held out have
+    counts = {f"https://a.example/{i % 9}/{i}".encode(): i % 4 for i in range(300)}
+    counts |= {f"word{i % 50:02d}{'x' * (i % 90)}{i}".encode(): 1 + i % 3 for i in range(600)}
+    counts |= {b"a": 5, b"other": 3, b"others": 2, b"other\x00s": 1, b"\xff\xfe\xff\xfe\xff\xfe": 2, b"y" * 5000: 2}
+    texts = [b" ".join([w] * n) for w, n in counts.items()]
+    model = lm.fit(spark.createDataFrame([(bytearray(t),) for t in texts], "text binary"))
+    want, kept = plain_gains(model, counts)
+    assert len(kept) > 100
+    words = spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long")
+    for most in (40, 1 << 20):
+        monkeypatch.setattr(lm, "RANGE_WORDS", most)
+        got = {bytes(r.word): r.gain for r in lm.deepen(words, spark.sparkContext.broadcast(model)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-4 for w in want)
+
+
+def test_scores_are_the_automaton_and_the_long_contexts(spark, monkeypatch):
+    texts = [f"{t or ''} interchangeable interchange{'able' * (i % 3)}" for i, t in enumerate(TEXTS)]
+    train = [t for i, t in enumerate(texts) if crc(i) % 7 != 2]
+    model = lm.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    counts = Counter(w for t in train for w in words(lower(t)))
+    counts = {w: counts[w] for t in texts for w in words(lower(t))}
+    gains, kept = plain_gains(model, counts)
+    assert kept
+    want = lm.log10_probabilities([t.encode() for t in texts], model) + [sum(gains[w] for w in words(lower(t))) for t in texts]
+    for frequent in (200_000, 3):
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        got = {r.doc_id: r.score for r in lm.score(docs(spark, texts)).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
+
+
+def test_held_out_texts_are_likelier_than_by_their_words(spark):
+    """On 10,000 documents; on fewer, unseen words weigh more, for which the base asks less than spelling them costs."""
+    held = lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > 0.97 * held["sum(base_score)"]
