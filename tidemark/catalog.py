@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.operators import classify, data_prep, generation, matching, perturb, runs, statistics, templates, tool_queries, traces
+from tidemark.operators import answers, classify, data_prep, generation, matching, perturb, runs, statistics, templates, tool_queries, traces
 from tidemark.streaming import records
 
-QUERIES = {**tool_queries.QUERIES, **templates.TEMPLATES, **matching.QUERIES, **perturb.QUERIES, **runs.QUERIES, **data_prep.QUERIES, **statistics.QUERIES, **traces.QUERIES, **records.QUERIES, **generation.QUERIES, **classify.QUERIES}
-ORACLE_SQL = {**tool_queries.ORACLE_SQL, **templates.ORACLE_SQL, **matching.ORACLE_SQL, **perturb.ORACLE_SQL, **runs.ORACLE_SQL, **data_prep.ORACLE_SQL, **statistics.ORACLE_SQL, **traces.ORACLE_SQL, **records.ORACLE_SQL, **generation.ORACLE_SQL, **classify.ORACLE_SQL}
+QUERIES = {**tool_queries.QUERIES, **templates.TEMPLATES, **matching.QUERIES, **perturb.QUERIES, **runs.QUERIES, **data_prep.QUERIES, **statistics.QUERIES, **traces.QUERIES, **records.QUERIES, **generation.QUERIES, **classify.QUERIES, **answers.QUERIES}
+ORACLE_SQL = {**tool_queries.ORACLE_SQL, **templates.ORACLE_SQL, **matching.ORACLE_SQL, **perturb.ORACLE_SQL, **runs.ORACLE_SQL, **data_prep.ORACLE_SQL, **statistics.ORACLE_SQL, **traces.ORACLE_SQL, **records.ORACLE_SQL, **generation.ORACLE_SQL, **classify.ORACLE_SQL, **answers.ORACLE_SQL}

@@ -53,13 +53,28 @@ def _largest(prefix):
     return tools.first_largest([(f"{prefix}_{q}", q) for q in Q])
 
 
-def _simple(build, *select_of):
+def _simple(build, columns):
     def run(spark: SparkSession, sf_dir: str, source: str = "label") -> DataFrame:
-        return build(spark, sf_dir, source).select(*select_of[0]())
+        return build(spark, sf_dir, source).select(*columns())
 
+    run.columns = columns
     return run
 
 
+def wide(spark: SparkSession, sf_dir: str, source: str = "label") -> DataFrame:
+    """One row an image with all that any template asks for, so that all 23 answers are projections of one plan."""
+    f = _with_stats(spark, sf_dir, source)
+    ends = f.select("image_id", F.least("longest", "shortest").alias("first"), F.greatest("longest", "shortest").alias("last"), "longest")
+    d4, na, nb = F.col("d4"), F.col("na"), F.col("nb")
+    near = tools.pairs(E.boxes(spark, sf_dir, source)).join(ends, "image_id").groupBy("image_id").agg(
+        F.min("d4").alias("pair_d4"),
+        F.min(F.when((na == F.col("longest")) | (nb == F.col("longest")), d4)).alias("neighbour_d4"),
+        F.min(F.when((na == F.col("first")) & (nb == F.col("last")), d4)).alias("ends_d4"),
+    )
+    px = {f"{c}_px": G.distance(F.col(f"{c}_d4")) for c in ("pair", "neighbour", "ends")}
+    return f.join(near, "image_id", "left").withColumns(px)
+
+
 def longest_neighbour(spark, sf_dir, source="label"):
     near = tools.neighbours(E.boxes(spark, sf_dir, source)).select("image_id", F.col("n").alias("longest"), "d4")
     return _facts(spark, sf_dir, source).join(near, ["image_id", "longest"], "left").select(*number(G.distance(F.col("d4"))))
@@ -71,6 +86,9 @@ def longest_shortest(spark, sf_dir, source="label"):
     return f.join(p, ["image_id", "na", "nb"], "left").select(*number(G.distance(F.col("d4"))))
 
 
+longest_neighbour.columns = lambda: number("neighbour_px")
+longest_shortest.columns = lambda: number("ends_px")
+
 _IMAGE_QUADRANT = lambda: F.element_at(F.array(*(F.lit(q) for q in Q)), (F.col("image_id") % 4 + 1).cast("int"))
 _NOISY = lambda: _largest("noise")
 
