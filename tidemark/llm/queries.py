@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, mixing, packing, pii, quality, repeats, resampling, simhash, suffix_tree_lm, toxicity, variants
+from tidemark.llm import ann, chat, lang_id, mixing, packing, pii, quality, repeats, resampling, simhash, suffix_tree_lm, toxicity, variants
 from tidemark.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,6 +54,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(read(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.drawn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
@@ -68,6 +72,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_suffix_tree_lm, op4_chat, op5_repeats, op6_quality, op7_packing, op8_mixing, op9_pii, op10_toxicity, op12_resampling, op13_variants, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_ann, op3_suffix_tree_lm, op4_chat, op5_repeats, op6_quality, op7_packing, op8_mixing, op9_pii, op10_toxicity, op11_lang_id, op12_resampling, op13_variants, pipeline)}
 
 ORACLE_SQL = {"op4_chat": chat.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL, "op13_variants": variants.ORACLE_SQL}
