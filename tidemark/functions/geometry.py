@@ -46,16 +46,25 @@ def distance(d: Column) -> Column:
     return F.round(F.sqrt(d.cast("double")) / 2, 1)
 
 
-def iou(a: str, b: str) -> Column:
-    """Overlap over union, null-free: 0 for an empty union."""
-    w = F.greatest(F.least(F.col(f"{a}.x2"), F.col(f"{b}.x2")) - F.greatest(F.col(f"{a}.x1"), F.col(f"{b}.x1")), F.lit(0))
-    h = F.greatest(F.least(F.col(f"{a}.y2"), F.col(f"{b}.y2")) - F.greatest(F.col(f"{a}.y1"), F.col(f"{b}.y1")), F.lit(0))
-    area = lambda t: (F.col(f"{t}.x2") - F.col(f"{t}.x1")) * (F.col(f"{t}.y2") - F.col(f"{t}.y1"))
+def _overlap(a, b) -> Column:
+    """Overlap over union of two boxes given as functions from a corner's name to its column, null-free: 0 for an empty union."""
+    w = F.greatest(F.least(a("x2"), b("x2")) - F.greatest(a("x1"), b("x1")), F.lit(0))
+    h = F.greatest(F.least(a("y2"), b("y2")) - F.greatest(a("y1"), b("y1")), F.lit(0))
+    area = lambda t: (t("x2") - t("x1")) * (t("y2") - t("y1"))
     inter = (w * h).cast("long")
     union = (area(a) + area(b)).cast("long") - inter
     return F.when(union > 0, inter.cast("double") / union).otherwise(F.lit(0.0))
 
 
+def iou(a: str, b: str) -> Column:
+    return _overlap(lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}"))
+
+
+def iou_of(a: Column, b: Column) -> Column:
+    """The same of two boxes that are structs, as in arrays."""
+    return _overlap(lambda c: a[c], lambda c: b[c])
+
+
 def size_bin(side: Column, low: int = 30, high: int = 50) -> Column:
     return F.when(side <= low, "small").when(side <= high, "mid").otherwise("large")
 
@@ -73,3 +82,9 @@ def uniform(*key) -> Column:
     """A number from 0 to 999 that depends on the key alone."""
     text = F.concat_ws("|", *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key))
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long") % 1000).cast("int")
+
+
+def chance(*key) -> Column:
+    """A whole number under 2**32 that depends on the key alone."""
+    text = F.concat_ws("|", *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")

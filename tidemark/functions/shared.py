@@ -24,3 +24,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_KEPT: dict = {}
+
+
+def once(spark: SparkSession, sf_dir: str, make, *key):
+    """make(spark, sf_dir, *key), made once a session for a folder and kept: for inputs that many tables share.
+
+    What make returns should be cut from its lineage. A folder whose files change needs forget().
+    """
+    name = (spark.sparkContext.applicationId, sf_dir, make.__module__, make.__qualname__, *key)
+    if name not in _KEPT:
+        _KEPT[name] = make(spark, sf_dir, *key)
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Let go of everything that once() keeps."""
+    _KEPT.clear()

@@ -1,22 +1,16 @@
-"""Perturbation of boxes: calibration of error rates, injection of one kind of error, correction of one kind.
-
-Chance is a hash of the key, so a box meets the same fate in every run and on every engine.
-"""
+"""Detections with errors of one kind mended, or of all kinds, and the answers that such boxes give."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import geometry as G
 from tidemark.operators import matching
 from tidemark.operators.matching import _WITH
 from tidemark.sources import entities as E
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Fewest labels for a stratum's own rate; tries for a place; overlap that an injected box may have.
-FEWEST, TRIES, FREE = 20, 8, 0.1
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
@@ -29,147 +23,9 @@ def query(sql: str):
     return add
 
 
-def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with their scene and size."""
-    return E.labels(spark, sf_dir).join(E.images(spark, sf_dir).select("image_id", "scene"), "image_id").withColumn("size", G.size_bin(G.long_side()))
-
-
-def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """size, scene, n, miss and loc in thousandths: a stratum's own rate, else its size's, else the rate of all.
-
-    One rollup gives the three levels; the result has as many rows as there are strata.
-    """
-    pairs = matching.matched(spark, sf_dir).select("image_id", F.col("l").alias("n"), "iou")
-    judged = stratified(spark, sf_dir).join(pairs, ["image_id", "n"], "left")
-    levels = judged.rollup("size", "scene").agg(F.count("*").alias("n"), F.count_if(F.col("iou").isNull()).alias("miss"), F.count_if(F.col("iou") < matching.GOOD).alias("loc"))
-    own = levels.where("scene is not null").alias("a")
-    size = levels.where("size is not null and scene is null").select("size", *(F.col(c).alias(f"s_{c}") for c in ("n", "miss", "loc"))).alias("b")
-    whole = levels.where("size is null").select(*(F.col(c).alias(f"w_{c}") for c in ("n", "miss", "loc"))).alias("c")
-    joined = own.join(size, "size").join(F.broadcast(whole), F.lit(True))
-
-    def rate(c):
-        part = lambda p: F.floor(1000 * F.col(f"{p}{c}") / F.col(f"{p}n"))
-        return F.when(F.col("n") >= FEWEST, part("")).when(F.col("s_n") >= FEWEST, part("s_")).otherwise(part("w_")).cast("int")
-
-    return joined.select("size", "scene", "n", rate("miss").alias("miss"), rate("loc").alias("loc"))
-
-
-_RATES = f"""{_WITH}, strat as (select *, case when side <= 30 then 'small' when side <= 50 then 'mid' else 'large' end as size from (select label.*, scene, greatest(x2 - x1, y2 - y1) as side from label join images using (image_id))),
-judged as (select s.*, m.iou from strat s left join matched m on m.image_id = s.image_id and m.l = s.n),
-own as (select size, scene, count(*) as n, count(*) filter (iou is null) as miss, count(*) filter (iou < 0.75) as loc from judged group by size, scene),
-sz as (select size, sum(n) as n, sum(miss) as miss, sum(loc) as loc from own group by size), al as (select sum(n) as n, sum(miss) as miss, sum(loc) as loc from own),
-rates as (select own.size, scene, own.n, {", ".join(f"cast(floor(case when own.n >= {FEWEST} then 1000 * own.{c} / own.n when sz.n >= {FEWEST} then 1000 * sz.{c} / sz.n else 1000 * al.{c} / al.n end) as int) as {c}" for c in ("miss", "loc"))}
-  from own join sz using (size), al)"""
 _U = lambda *k: "('0x' || substr(md5(" + " || '|' || ".join(k) + "), 1, 7))::bigint % 1000"
 
 
-@query(f"{_RATES} select * from rates")
-def calibration_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(spark, sf_dir)
-
-
-def with_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stratified(spark, sf_dir).join(F.broadcast(rates(spark, sf_dir).drop("n")), ["size", "scene"])
-
-
-def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_rates(spark, sf_dir).groupBy("image_id").agg(F.sum("miss").alias("expected"))
-
-
-_EXPECTED = f"{_RATES}, expected as (select image_id, cast(sum(miss) as bigint) as expected from strat join (select size, scene, miss from rates) using (size, scene) group by image_id)"
-
-
-@query(f"{_EXPECTED} select image_id, expected from expected")
-def expected_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In thousandths of a box."""
-    return expected(spark, sf_dir)
-
-
-def injected_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_rates(spark, sf_dir).where(G.uniform(F.lit("miss"), F.col("image_id"), F.col("n")) >= F.col("miss")).select("image_id", *CORNERS, "n")
-
-
-_KEPT = f"{_RATES}, kept as (select image_id, x1, y1, x2, y2, n from strat join (select size, scene, miss from rates) using (size, scene) where {_U("'miss'", 'image_id', 'n')} >= miss)"
-
-
-@query(f"{_KEPT} select * from kept")
-def inject_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return injected_miss(spark, sf_dir)
-
-
-def fp_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole part of the expected misses, and one more with the rest as chance."""
-    e = F.col("expected")
-    return expected(spark, sf_dir).select("image_id", (F.floor(e / 1000) + (G.uniform(F.lit("fp"), F.col("image_id")) < e % 1000).cast("int")).cast("int").alias("n_fp"))
-
-
-_FP = f"{_EXPECTED}, fps as (select image_id, cast(expected // 1000 + cast({_U("'fp'", 'image_id')} < expected % 1000 as int) as int) as n_fp from expected)"
-
-
-@query(f"{_FP} select * from fps")
-def fp_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fp_counts(spark, sf_dir)
-
-
-def injected_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each slot the first of TRIES places that overlaps no label by more than FREE; slots don't see each other."""
-    slots = fp_counts(spark, sf_dir).where("n_fp > 0").select("image_id", F.explode(F.sequence(F.lit(1), "n_fp")).alias("slot")).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
-    u = lambda what: G.uniform(F.lit(what), F.col("image_id"), F.col("slot"), F.col("try"))
-    places = slots.select("image_id", "slot", "try", (u("x") % 740).alias("x1"), (u("y") % 740).alias("y1"), (10 + u("w") % 50).alias("w"), (10 + u("h") % 50).alias("h"))
-    places = places.select("image_id", "slot", "try", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"))
-    a, b = places.alias("a"), E.labels(spark, sf_dir).alias("b")
-    free = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (G.iou("a", "b") > FREE), "left_anti")
-    best = free.groupBy("image_id", "slot").agg(F.min(F.struct("try", *CORNERS)).alias("p"))
-    return best.select("image_id", "slot", "p.*")
-
-
-_IOU_AB = "cast(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as double) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))"
-_US = lambda w: _U(f"'{w}'", "image_id", "slot", '"try"')
-_INJECT_FP = f"""{_FP}, slots as (select image_id, slot, unnest(range(0, {TRIES})) as "try" from (select image_id, unnest(range(1, n_fp + 1)) as slot from fps)),
-places as (select image_id, slot, "try", x1, y1, x1 + w as x2, y1 + h as y2 from (select image_id, slot, "try", {_US('x')} % 740 as x1, {_US('y')} % 740 as y1, 10 + {_US('w')} % 50 as w, 10 + {_US('h')} % 50 as h from slots)),
-free as (select a.* from places a where not exists (select 1 from label b where a.image_id = b.image_id and {_IOU_AB} > {FREE})),
-added as (select * from (select *, row_number() over (partition by image_id, slot order by "try") as r from free) where r = 1)"""
-
-
-@query(f'{_INJECT_FP} select image_id, slot, "try", x1, y1, x2, y2 from added')
-def inject_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return injected_fp(spark, sf_dir)
-
-
-def injected_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels moved by the first of TRIES shifts that leaves an overlap from MATCH up to GOOD; others stay."""
-    shift = lambda what: G.uniform(F.lit(what), F.col("image_id"), F.col("n"), F.col("try")) % 31 - 15
-    chosen = with_rates(spark, sf_dir).where(G.uniform(F.lit("loc"), F.col("image_id"), F.col("n")) < F.col("loc")).select("image_id", "n", *CORNERS)
-    tried = chosen.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1)))).withColumn("dx", shift("dx")).withColumn("dy", shift("dy"))
-    clip = lambda c, d: F.least(F.greatest(F.col(c) + F.col(d), F.lit(0)), F.lit(G.SIZE))
-    moved = tried.select("image_id", "n", "try", *(clip(c, "dx" if c[0] == "x" else "dy").alias(c) for c in CORNERS))
-    a, b = moved.alias("a"), chosen.alias("b")
-    fits = a.join(b, ["image_id", "n"]).where((G.iou("a", "b") >= matching.MATCH) & (G.iou("a", "b") < matching.GOOD))
-    return fits.groupBy("image_id", "n").agg(F.min(F.struct("a.try", *(F.col(f"a.{c}") for c in CORNERS))).alias("p")).select("image_id", "n", "p.*")
-
-
-_UN = lambda w: _U(f"'{w}'", "image_id", "n", '"try"')
-_INJECT_LOC = f"""{_RATES}, chosen as (select image_id, n, x1, y1, x2, y2 from strat join (select size, scene, loc from rates) using (size, scene) where {_U("'loc'", 'image_id', 'n')} < loc),
-tried as (select *, {_UN('dx')} % 31 - 15 as dx, {_UN('dy')} % 31 - 15 as dy from (select *, unnest(range(0, {TRIES})) as "try" from chosen)),
-moved as (select image_id, n, "try", {", ".join(f"least(greatest({c} + d{c[0]}, 0), 800) as {c}" for c in CORNERS)} from tried),
-fits as (select a.*, row_number() over (partition by a.image_id, a.n order by "try") as r from moved a join chosen b on a.image_id = b.image_id and a.n = b.n where {_IOU_AB} >= 0.5 and {_IOU_AB} < 0.75)"""
-
-
-@query(f'{_INJECT_LOC} select image_id, n, "try", x1, y1, x2, y2 from fits where r = 1')
-def inject_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return injected_loc(spark, sf_dir)
-
-
-@query(f"{_KEPT} select (select count(*) from label) as labels, (select count(*) from kept) as kept, (select count(*) from label) - (select count(*) from kept) as misses, 0 as fps, 0 as locs")
-def check_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The injected boxes matched to the labels again: misses alone, as many as were taken out."""
-    labels, kept = E.labels(spark, sf_dir), injected_miss(spark, sf_dir)
-    kinds = matching.errors(kept, labels, matching.greedy(matching.candidates(kept, labels)))
-    found = kinds.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("miss", "fp", "loc")))
-    one = labels.agg(F.count("*").alias("labels")).join(kept.agg(F.count("*").alias("kept")), F.lit(True)).join(found, F.lit(True))
-    return one.select("labels", "kept", F.col("miss").alias("misses"), F.col("fp").cast("int").alias("fps"), F.col("loc").cast("int").alias("locs"))
-
-
 def corrected(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Detections with one kind of error mended; boxes in the order of their image, without numbers."""
     dets, labels, pairs = E.detections(spark, sf_dir).drop("score"), E.labels(spark, sf_dir), matching.matched(spark, sf_dir)
@@ -230,15 +86,6 @@ def reference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.withColumn("answer_changed", F.col("n_detected") != F.col("n_label"))
 
 
-@query(f"{_RATES} select size, scene, count(*) as n, cast(sum(dx) as bigint) as dx, cast(sum(dy) as bigint) as dy from (select s.size, s.scene, d.x1 - s.x1 as dx, d.y1 - s.y1 as dy from judged s join matched m on m.image_id = s.image_id and m.l = s.n join detected d on d.image_id = m.image_id and d.n = m.d where m.iou < 0.75) group by all")
-def calibration_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shifts of poorly placed detections by stratum, added up."""
-    pairs = matching.matched(spark, sf_dir).where(F.col("iou") < matching.GOOD).select("image_id", F.col("l").alias("n"), "d")
-    dets = E.detections(spark, sf_dir).select("image_id", F.col("n").alias("d"), F.col("x1").alias("dx1"), F.col("y1").alias("dy1"))
-    both = stratified(spark, sf_dir).join(pairs, ["image_id", "n"]).join(dets, ["image_id", "d"])
-    return both.groupBy("size", "scene").agg(F.count("*").alias("n"), F.sum(F.col("dx1") - F.col("x1")).alias("dx"), F.sum(F.col("dy1") - F.col("y1")).alias("dy"))
-
-
 @query(f"{_WITH}, fixed as ({_FIX_ALL}), signs as (select image_id, x1, y1, x2, y2, sum(s) as s from (select *, 1 as s from fixed union all select image_id, x1, y1, x2, y2, -1 from label) group by all) select image_id, cast(sum(s) filter (s > 0) as bigint) as more, cast(-sum(s) filter (s < 0) as bigint) as less from signs where s <> 0 group by image_id")
 def residual_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What still differs from the labels once all kinds are mended, by image."""

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
 from tidemark.functions.ordering import numbered
-from tidemark.operators import matching, perturb
+from tidemark.functions.shared import cut, once
+from tidemark.operators import injection, matching
 from tidemark.operators.matching import _WITH
 from tidemark.operators.perturb import _FIX, _U
 from tidemark.sources import entities as E
@@ -25,15 +26,17 @@ CONDITIONS = [
     (1, "stepwise", "label", 0, 1),
     (2, "stepwise", "detected", 0, 1),
     (3, "stepwise", "label", 1, 2),
-    (4, "batch", "label", 0, 1),
-    (5, "batch", "detected", 0, 1),
-    (6, "stepwise", "injected", 0, 3),
-    (7, "stepwise", "injected", 1, 3),
-    (8, "batch", "injected", 0, 3),
-    (9, "stepwise", "miss", 0, 4),
-    (10, "stepwise", "fp", 0, 4),
-    (11, "stepwise", "loc", 0, 4),
+    (4, "batch", "label", 0, 3),
+    (5, "batch", "detected", 0, 3),
+    (6, "stepwise", "injected:miss", 0, 1),
+    (7, "stepwise", "injected:fp", 0, 1),
+    (8, "stepwise", "injected:loc", 0, 1),
+    (9, "stepwise", "corrected:miss", 0, 1),
+    (10, "stepwise", "corrected:fp", 0, 1),
+    (11, "stepwise", "corrected:loc", 0, 1),
 ]
+#: The conditions of each injected kind.
+INJECTED = {6: "miss", 7: "fp", 8: "loc"}
 FAIL_KINDS = ("format", "budget", "timeout")
 STAGES = ("interpretation", "tool_selection", "reading", "branch_order", "calculation", "formatting")
 
@@ -55,19 +58,22 @@ _CONDS = "conds as (select * from (values " + ", ".join(str(c) for c in CONDITIO
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, input, n: the boxes of every image on every input; images without boxes have 0."""
+    """image_id, input, n: the boxes of every image on every input; images without boxes have 0. Written once for all tables over runs."""
+    return once(spark, sf_dir, _counts)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     dets, labels = E.detections(spark, sf_dir), E.labels(spark, sf_dir)
-    pairs = matching.matched(spark, sf_dir)
-    parts = {"label": labels, "detected": dets, "injected": perturb.injected_miss(spark, sf_dir), "pair": pairs}
-    union = None
+    parts = {"label": labels, "detected": dets, "pair": matching.matched(spark, sf_dir)}
+    union = injection.boxes(injection.injected(spark, sf_dir)[0]).select("image_id", F.concat(F.lit("injected:"), "kind").alias("input"))
     for s, df in parts.items():
-        one = df.select("image_id", F.lit(s).alias("input"))
-        union = one if union is None else union.unionByName(one)
-    per = union.groupBy("image_id").agg(*(F.count_if(F.col("input") == s).alias(s) for s in parts))
+        union = union.unionByName(df.select("image_id", F.lit(s).alias("input")))
+    names = [*parts, *(f"injected:{k}" for k in injection.KINDS)]
+    per = union.groupBy("image_id").agg(*(F.count_if(F.col("input") == s).alias(s) for s in names))
     # what a correction adds or drops follows from the number of pairs, so no corrected boxes are made here
-    columns = {"label": F.col("label"), "detected": F.col("detected"), "injected": F.col("injected"), "miss": F.expr("detected + label - pair"), "fp": F.col("pair"), "loc": F.col("detected")}
+    columns = {s: F.col(f"`{s}`") for s in names if s != "pair"} | {"corrected:miss": F.expr("detected + label - pair"), "corrected:fp": F.col("pair"), "corrected:loc": F.col("detected")}
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("input"), c.alias("n")) for s, c in columns.items()))).alias("x")
-    return per.select("image_id", each).select("image_id", "x.input", "x.n")
+    return cut(per.select("image_id", each).select("image_id", "x.input", "x.n"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +105,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UK = lambda w: _U(f"'{w}'", "cond", "qid")
 _RUNS = (
-    perturb._KEPT
-    + f""", {_CONDS}, counts as (select image_id, input, count(*) as n from (select image_id, 'label' as input from label union all select image_id, 'detected' from detected union all select image_id, 'injected' from kept
-  union all {" union all ".join(f"select image_id, '{k}' from ({t})" for k, t in _FIX.items())}) group by all),
+    injection._ALL
+    + f""", {_CONDS}, counts as (select image_id, input, count(*) as n from (select image_id, 'label' as input from label union all select image_id, 'detected' from detected
+  union all select image_id, 'injected:' || kind from injected where state <> 'missed' and x1 is not null
+  union all {" union all ".join(f"select image_id, 'corrected:{k}' from ({t})" for k, t in _FIX.items())}) group by all),
 questions as (select 'T-' || image_id as qid, image_id, scene_group, cast(image_id % 5 + 1 as int) as level, image_id % 10 < 8 as box_dependent, cast(image_id % 9 + 1 as int) as gold_calls from images),
 r0 as (select q.*, c.*, coalesce(g.n, 0) as gold, case when box_dependent then coalesce(k.n, 0) else coalesce(g.n, 0) end as reachable, {_UK('answer')} as ua, {_UK('fail')} as uf, {_UK('unit')} as uu, {_UK('stage')} as us
   from questions q cross join conds c left join counts g on g.image_id = q.image_id and g.input = 'label' left join counts k on k.image_id = q.image_id and k.input = c.input),
@@ -249,10 +256,17 @@ def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(e("c1 - c4").alias("stepwise_minus_batch_label"), e("c2 - c5").alias("stepwise_minus_batch_detected"), e("c1 - c2").alias("drop_stepwise"), e("c4 - c5").alias("drop_batch"), e("(c1 - c2) - (c4 - c5)").alias("difference"), "n")
 
 
-@query(f"{_GRADED}, {_paired(1, 6)} select answer_changed, count(*) as n, count(*) filter (correct_a) as before, count(*) filter (correct_b) as after from (select p.*, g.reachable <> g.gold as answer_changed from paired p join graded g using (qid) where g.cond = 6) group by answer_changed")
+@query(
+    f"""{_GRADED}, before as (select qid, correct from graded where cond = 1)
+  select replace(input, 'injected:', '') as kind, reachable <> gold as answer_changed, count(*) as n, count(*) filter (b.correct) as before, count(*) filter (g.correct) as after
+  from graded g join before b using (qid) where input like 'injected:%' group by all"""
+)
 def injection_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graded(spark, sf_dir).where("cond in (1, 6)").groupBy("qid").agg(F.max(F.when(F.col("cond") == 1, F.col("correct"))).alias("a"), F.max(F.when(F.col("cond") == 6, F.col("correct"))).alias("b"), F.max(F.when(F.col("cond") == 6, F.col("reachable") != F.col("gold"))).alias("answer_changed"))
-    return g.groupBy("answer_changed").agg(F.count("*").alias("n"), F.count_if("a").alias("before"), F.count_if("b").alias("after"))
+    """Right answers before and after each kind's injection, apart for questions whose answer it changes; one aggregation by question."""
+    g = graded(spark, sf_dir).where(F.col("cond").isin(1, *INJECTED))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), *(F.max(F.when(F.col("cond") == c, e)).alias(name) for e, name in ((F.col("reachable") != F.col("gold"), "answer_changed"), (F.col("correct"), "after")))) for c, k in INJECTED.items()))
+    each = g.groupBy("qid").agg(F.max(F.when(F.col("cond") == 1, F.col("correct"))).alias("before"), kinds.alias("kinds")).select("before", F.explode("kinds").alias("x"))
+    return each.groupBy("x.kind", "x.answer_changed").agg(F.count("*").alias("n"), F.count_if("before").alias("before"), F.count_if("x.after").alias("after"))
 
 
 @query(f"{_RUNS} select input, count(*) as runs, count(distinct qid) as questions, count(*) - count(distinct run_id) as duplicates, min(run_id) as first_run, max(run_id) as last_run from runs group by input")
@@ -285,11 +299,11 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).groupBy("gold_calls").agg(F.max(b).alias("budget"), F.count_if(F.col("n_calls") > b).alias("over"), F.count("*").alias("n"))
 
 
-@query(f"{_GRADED} select run_id, case when not box_dependent or not input_error then 'none' when fix_miss and fix_fp then 'multiple' when fix_miss then 'miss' when fix_fp then 'fp' else 'composite' end as cause from (select g.run_id, g.box_dependent, g.input_error, coalesce(m.n, 0) = g.gold as fix_miss, coalesce(f.n, 0) = g.gold as fix_fp from graded g left join counts m on m.image_id = g.image_id and m.input = 'miss' left join counts f on f.image_id = g.image_id and f.input = 'fp' where g.input = 'detected')")
+@query(f"{_GRADED} select run_id, case when not box_dependent or not input_error then 'none' when fix_miss and fix_fp then 'multiple' when fix_miss then 'miss' when fix_fp then 'fp' else 'composite' end as cause from (select g.run_id, g.box_dependent, g.input_error, coalesce(m.n, 0) = g.gold as fix_miss, coalesce(f.n, 0) = g.gold as fix_fp from graded g left join counts m on m.image_id = g.image_id and m.input = 'corrected:miss' left join counts f on f.image_id = g.image_id and f.input = 'corrected:fp' where g.input = 'detected')")
 def input_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of error whose correction alone brings the right answer back."""
     n = counts(spark, sf_dir)
-    fixed = n.where("input in ('miss', 'fp')").groupBy("image_id").agg(*(F.max(F.when(F.col("input") == k, F.col("n"))).alias(f"n_{k}") for k in ("miss", "fp")))
+    fixed = n.groupBy("image_id").agg(*(F.max(F.when(F.col("input") == f"corrected:{k}", F.col("n"))).alias(f"n_{k}") for k in ("miss", "fp")))
     g = graded(spark, sf_dir).where("input = 'detected'").join(fixed, "image_id", "left").fillna(0, ["n_miss", "n_fp"])
     m, f = F.col("n_miss") == F.col("gold"), F.col("n_fp") == F.col("gold")
     cause = F.when(~F.col("box_dependent") | ~F.col("input_error"), "none").when(m & f, "multiple").when(m, "miss").when(f, "fp").otherwise("composite")
