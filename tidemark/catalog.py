@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.operators import answers, calibration, classify, data_prep, generation, injection, matching, perturb, replies, runs, scenes, statistics, templates, tool_queries, traces
+from tidemark.operators import answers, calibration, classify, data_prep, generation, injection, matching, perturb, rectangles, replies, runs, scenes, statistics, templates, tool_queries, traces
 from tidemark.sources import run_files
 from tidemark.streaming import records
 
-QUERIES = {**tool_queries.QUERIES, **templates.TEMPLATES, **matching.QUERIES, **perturb.QUERIES, **calibration.QUERIES, **injection.QUERIES, **runs.QUERIES, **data_prep.QUERIES, **statistics.QUERIES, **traces.QUERIES, **records.QUERIES, **generation.QUERIES, **classify.QUERIES, **answers.QUERIES, **scenes.QUERIES, **replies.QUERIES, **run_files.QUERIES}
-ORACLE_SQL = {**tool_queries.ORACLE_SQL, **templates.ORACLE_SQL, **matching.ORACLE_SQL, **perturb.ORACLE_SQL, **calibration.ORACLE_SQL, **injection.ORACLE_SQL, **runs.ORACLE_SQL, **data_prep.ORACLE_SQL, **statistics.ORACLE_SQL, **traces.ORACLE_SQL, **records.ORACLE_SQL, **generation.ORACLE_SQL, **classify.ORACLE_SQL, **answers.ORACLE_SQL, **scenes.ORACLE_SQL, **replies.ORACLE_SQL, **run_files.ORACLE_SQL}
+QUERIES = {**tool_queries.QUERIES, **templates.TEMPLATES, **matching.QUERIES, **perturb.QUERIES, **calibration.QUERIES, **injection.QUERIES, **rectangles.QUERIES, **runs.QUERIES, **data_prep.QUERIES, **statistics.QUERIES, **traces.QUERIES, **records.QUERIES, **generation.QUERIES, **classify.QUERIES, **answers.QUERIES, **scenes.QUERIES, **replies.QUERIES, **run_files.QUERIES}
+ORACLE_SQL = {**tool_queries.ORACLE_SQL, **templates.ORACLE_SQL, **matching.ORACLE_SQL, **perturb.ORACLE_SQL, **calibration.ORACLE_SQL, **injection.ORACLE_SQL, **rectangles.ORACLE_SQL, **runs.ORACLE_SQL, **data_prep.ORACLE_SQL, **statistics.ORACLE_SQL, **traces.ORACLE_SQL, **records.ORACLE_SQL, **generation.ORACLE_SQL, **classify.ORACLE_SQL, **answers.ORACLE_SQL, **scenes.ORACLE_SQL, **replies.ORACLE_SQL, **run_files.ORACLE_SQL}
