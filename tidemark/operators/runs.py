@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import bootstrap
 from tidemark.functions import geometry as G
 from tidemark.functions.ordering import numbered
 from tidemark.functions.shared import cut, once
@@ -310,25 +311,15 @@ def input_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("run_id", cause.alias("cause"))
 
 
-REPLICATES = 1000
-
-
 @query(
-    f"""{_GRADED}, st as (select scene_group, row_number() over (order by scene_group) - 1 as k, count(*) filter (cond = 1) as n, count(*) filter (cond = 1 and correct) as c from graded group by scene_group),
-  g as (select count(*) as g from st), draws as (select b, ('0x' || substr(md5(b || '|' || j), 1, 8))::bigint % g as k from g, unnest(range(0, {REPLICATES})) t(b), unnest(range(0, g)) u(j)),
-  reps as (select b, sum(c) / sum(n) as r from draws join st using (k) group by b)
-  select floor(quantile_cont(r, 0.025) * 1000000 + 0.5) / 1000000.0 as low, floor(quantile_cont(r, 0.975) * 1000000 + 0.5) / 1000000.0 as high, count(*) as replicates from reps"""
+    f"""{_GRADED}, sums as (select 1 as stat, scene_group, count(*) filter (correct) as num, count(*) as den from graded where cond = 1 group by scene_group), {bootstrap.intervals_sql("sums")}
+  select floor(low * 1000000 + 0.5) / 1000000.0 as low, floor(high * 1000000 + 0.5) / 1000000.0 as high, (select count(*) from reps where den <> 0) as replicates from intervals"""
 )
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster bootstrap over scene groups; sums by group first, so a replicate is as many rows as there are groups."""
-    st = graded(spark, sf_dir).where("cond = 1").groupBy("scene_group").agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
-    # as many rows as scene groups
-    st = st.withColumn("k", (F.row_number().over(W.orderBy("scene_group")) - 1).cast("long")).withColumn("g", F.count("*").over(W.partitionBy()))
-    draws = spark.range(REPLICATES).withColumnRenamed("id", "b").join(F.broadcast(st.select(F.col("k").alias("j"), "g")), F.lit(True))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "j").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("g")
-    reps = draws.select("b", pick.alias("k")).join(F.broadcast(st.select("k", "n", "c")), "k").groupBy("b").agg((F.sum("c") / F.sum("n")).alias("r"))
-    cut = lambda p: F.floor(F.percentile("r", F.lit(p)) * 1000000 + 0.5) / 1000000.0
-    return reps.agg(cut(0.025).alias("low"), cut(0.975).alias("high"), F.count("*").alias("replicates"))
+    """The accuracy of condition 1, its scene groups drawn anew."""
+    sums = graded(spark, sf_dir).where("cond = 1").groupBy("scene_group").agg(F.lit(1).alias("stat"), F.count_if("correct").alias("num"), F.count("*").alias("den"))
+    six = lambda c: (F.floor(F.col(c) * 1000000 + 0.5) / 1000000.0).alias(c)
+    return bootstrap.intervals(cut(sums)).select(six("low"), six("high"), F.lit(bootstrap.REPLICATES).cast("long").alias("replicates"))
 
 
 @query(f"{_GRADED} select method, input, floor(10000 * count(*) filter (cell = 'correct') / count(*) + 0.5) / 100.0 as correct, floor(10000 * count(*) filter (cell = 'input_only') / count(*) + 0.5) / 100.0 as input_only, floor(10000 * count(*) filter (cell = 'agent_only') / count(*) + 0.5) / 100.0 as agent_only, floor(10000 * count(*) filter (cell = 'both') / count(*) + 0.5) / 100.0 as \"both\" from graded group by method, input")
