@@ -1,11 +1,14 @@
 """Near duplicates by SimHash: fingerprints, an inverted index on byte positions, count filter, verification.
 
-A pair of 64-bit fingerprints with at most two differing bits agrees in at least six of its eight positional bytes.
-Lists for single bytes would hold a 256th of all fingerprints each, and tallying their pairs would be quadratic. The
-tally is folded into the key instead: a list stands for six positions and their bytes, so that two fingerprints meet
-in one of the C(8,6) = 28 kinds of list exactly if their tally reaches six. A list's members are distinct and differ
-in 16 bits, so it has 65,536 members at most. Within a list no pairs are made: members are hung on the values within
-one bit of them, and two members are within two bits of each other exactly if they share such a value.
+A pair of 64-bit fingerprints with at most two differing bits agrees in at least six of its eight positional bytes, and so
+in two of its four pairs of neighbouring bytes. A list of the index stands for two of these pairs and their four bytes (six
+kinds of list), as lists for single bytes would hold a 256th of all fingerprints each. The members of a list meet: their
+shared positional bytes are tallied, pairs that don't reach six are turned away, the others are verified bit by bit.
+
+A list of over LIST members, as near copies in great numbers make it, falls apart into lists for six of its bytes, in which
+two fingerprints meet exactly if their tally reaches six. Their members are distinct and differ in 16 bits, so there are 65,536
+at most, and no pairs are made: members are hung on the values within one bit of them, and two members are within two bits
+of each other exactly if they share such a value.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from tidemark.functions.graphs import components
 from tidemark.llm.common import cut, fresh, values
 
 BYTES = 8
+#: Members of a list whose pairs are tallied.
+LIST = 256
 #: Shingles are summed up in blocks, so that a very long text takes no more memory.
 BLOCK = 1 << 15
 
@@ -95,6 +100,44 @@ def _stars(bits: int):
     return run
 
 
+def _positions() -> list[tuple[tuple[int, ...], int]]:
+    """The byte positions that each kind of list fixes, two pairs of neighbours, and their mask."""
+    kept = [(2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(BYTES // 2), 2)]
+    return [(own, sum(255 << 8 * p for p in own)) for own in kept]
+
+
+def tallied(members: np.ndarray, bits: int = 2) -> tuple[np.ndarray, int, int]:
+    """The near pairs within each row of members (lists of one size), how many pairs were tallied and how many of them passed the count filter."""
+    left, right = np.triu_indices(members.shape[1], 1)
+    near, seen, passed = [], 0, 0
+    for part in np.array_split(members, max(1, members.shape[0] * len(left) // 500_000)):
+        xor = part[:, left] ^ part[:, right]
+        shared = (np.ascontiguousarray(xor).view(np.uint8).reshape(*xor.shape, BYTES) == 0).sum(axis=2)
+        row, pair = np.nonzero(shared >= BYTES - bits)
+        seen, passed = seen + xor.size, passed + len(row)
+        close = np.bitwise_count(xor[row, pair]) <= bits
+        row, pair = row[close], pair[close]
+        near.append(np.stack([part[row, left[pair]], part[row, right[pair]]], axis=1))
+    return np.concatenate(near), seen, passed
+
+
+def _tally(bits: int):
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("members")
+            offsets = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            size = np.diff(offsets)
+            for n in np.unique(size):
+                at = offsets[:-1][size == n]
+                pairs, _, _ = tallied(flat[at[:, None] + np.arange(n)], bits)
+                pairs.sort(axis=1)
+                u, v = np.unique(pairs, axis=0).view(np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)), pa.array(np.ascontiguousarray(u))], ["u", "v"])
+
+    return run
+
+
 def links(found: DataFrame, bits: int = 2) -> DataFrame:
     """From distinct fingerprints (fp), links (u, v) of at most `bits` differing bits that connect all that are so near.
 
@@ -102,10 +145,22 @@ def links(found: DataFrame, bits: int = 2) -> DataFrame:
     """
     if bits != 2:
         raise ValueError("lists are built for two differing bits")
-    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bytes")) for i, (m, _) in enumerate(masks(bits))))
+    edge = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+    part = lambda mask: F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), part(m).alias("bytes")) for i, (_, m) in enumerate(_positions())))
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = found.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(kinds).alias("p")).groupBy("p.kind", "p.bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    pairs = postings.select("kind", "members").mapInArrow(_stars(bits), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])).distinct()
+    keyed = found.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(kinds).alias("p")).select("fp", "p.*")
+    # a list of one member, as most are, is dropped; no list is gathered before its size is known
+    sizes = cut(keyed.groupBy("kind", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
+    listed = cut(keyed.join(sizes, ["kind", "bytes"]))
+    small = listed.where(F.col("n") <= LIST).groupBy("kind", "bytes").agg(F.collect_list("fp").alias("members"))
+    pairs = small.select("members").mapInArrow(_tally(bits), edge)
+    six = masks(bits)
+    within = [[k for k, (m, _) in enumerate(six) if m & own == own] for _, own in _positions()]
+    of_six = [F.struct(F.lit(k).alias("kind"), part(m).alias("bytes")) for k, (m, _) in enumerate(six)]
+    finer = F.get(F.array(*(F.array(*(of_six[k] for k in own)) for own in within)), F.col("kind"))
+    large = listed.where(F.col("n") > LIST).select("fp", F.explode(finer).alias("p")).groupBy("p.kind", "p.bytes").agg(F.collect_set("fp").alias("members")).where(F.size("members") > 1)
+    pairs = pairs.unionByName(large.select("kind", "members").mapInArrow(_stars(bits), edge)).distinct()
     xor = F.col("u").bitwiseXOR(F.col("v"))
     shared = sum(F.when(F.shiftrightunsigned(xor, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(BYTES))
     return pairs.where((shared >= BYTES - bits) & (F.bit_count(xor) <= bits))
