@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import geometry as G
+from tidemark.functions.shared import cut
+from tidemark.operators import spatial
 from tidemark.sources import entities as E
 from tidemark.sources.entities import with_entities
 
 #: Fixed thresholds: overlap for a match, overlap for a good location.
 MATCH, GOOD = 0.5, 0.75
+#: Pairs of an image that are folded one by one.
+FOLD = 256
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,22 +30,52 @@ def query(sql: str):
 
 
 def candidates(dets: DataFrame, labels: DataFrame, threshold: float = MATCH) -> DataFrame:
-    """image_id, d, l, iou of overlapping pairs; an equi-join on the image, never a product of all boxes."""
-    a, b = dets.alias("a"), labels.alias("b")
-    both = a.join(b, F.col("a.image_id") == F.col("b.image_id")).select(F.col("a.image_id"), F.col("a.n").alias("d"), F.col("b.n").alias("l"), G.iou("a", "b").alias("iou"))
-    return both.where(F.col("iou") >= threshold)
+    """image_id, d, l, iou of overlapping pairs; boxes meet by image and cell, never as all pairs of an image."""
+    return spatial.overlaps(dets, labels, threshold)
 
 
-def greedy(pairs: DataFrame) -> DataFrame:
-    """The pairs that stay when each image's are taken by overlap, then d, then l, and both sides are used once.
+def by_overlap() -> Column:
+    """The order in which pairs are taken: by overlap, then d, then l."""
+    return F.struct((-F.col("iou")).alias("k"), "d", "l")
 
-    A fold over each image's ordered pairs; nothing leaves the JVM.
+
+def greedy(pairs: DataFrame, order: Column | None = None) -> DataFrame:
+    """image_id, d, l, iou of the pairs that stay when each image's are taken in order and both sides are used once.
+
+    order: a struct that tells all pairs of an image apart, with d and l in it. Images of up to FOLD pairs are folded one by
+    one inside the JVM; the others are matched by rounds of joins, which gives the same pairs.
     """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), "d", "l")))
-    per = pairs.groupBy("image_id").agg(ordered.alias("c"))
-    start = F.array().cast("array<struct<k:double,d:int,l:int>>")
+    keyed = cut(pairs.select("image_id", "d", "l", "iou", (by_overlap() if order is None else order).alias("k")))
+    crowded = cut(keyed.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > FOLD).select("image_id"))
+    if crowded.isEmpty():
+        return _folded(keyed)
+    return _folded(keyed.join(crowded, "image_id", "left_anti")).unionByName(mutual(keyed.join(crowded, "image_id", "left_semi")))
+
+
+def _folded(keyed: DataFrame) -> DataFrame:
+    """Each image's ordered pairs are walked once, with what is taken so far as the state."""
+    item = F.struct("k", "d", "l", "iou")
+    per = keyed.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    start = F.slice(F.col("c"), 1, 0)
     taken = F.aggregate("c", start, lambda got, x: F.when(F.exists(got, lambda y: (y["d"] == x["d"]) | (y["l"] == x["l"])), got).otherwise(F.concat(got, F.array(x))))
-    return per.select("image_id", F.explode(taken).alias("m")).select("image_id", "m.d", "m.l", (-F.col("m.k")).alias("iou"))
+    return per.select("image_id", F.explode(taken).alias("m")).select("image_id", "m.d", "m.l", "m.iou")
+
+
+def mutual(keyed: DataFrame) -> DataFrame:
+    """The same by rounds: a pair that comes first for both its sides stays, all that share a side with it go, and again.
+
+    The first pair of all that are left always comes first for both sides, and whatever a round keeps would be kept by
+    taking pairs in order, as nothing before it touches it. Rounds are few, unless overlaps fall along a chain.
+    """
+    left, taken = cut(keyed), None
+    while True:
+        first = lambda side: left.groupBy("image_id", side).agg(F.min("k").alias("k")).select("image_id", "k")
+        both = first("d").join(first("l"), ["image_id", "k"])
+        won = cut(left.join(both, ["image_id", "k"], "left_semi"))
+        taken = won if taken is None else taken.unionByName(won)
+        left = cut(left.join(won.select("image_id", "d"), ["image_id", "d"], "left_anti").join(won.select("image_id", "l"), ["image_id", "l"], "left_anti"))
+        if left.isEmpty():
+            return taken.select("image_id", "d", "l", "iou")
 
 
 def matched(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
@@ -121,10 +154,8 @@ def by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of detections and hits for each score: each detection, best score first, takes its best free label."""
     dets = E.detections(spark, sf_dir)
     pairs = candidates(dets, E.labels(spark, sf_dir)).join(dets.select("image_id", F.col("n").alias("d"), "score"), ["image_id", "d"])
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "d", (-F.col("iou")).alias("k"), "l")))
-    start = F.array().cast("array<struct<s:int,d:int,k:double,l:int>>")
-    taken = F.aggregate("c", start, lambda got, x: F.when(F.exists(got, lambda y: (y["d"] == x["d"]) | (y["l"] == x["l"])), got).otherwise(F.concat(got, F.array(x))))
-    hits = pairs.groupBy("image_id").agg(ordered.alias("c")).select("image_id", F.explode(taken).alias("m")).select("image_id", F.col("m.d").alias("n"), F.lit(1).alias("hit"))
+    order = F.struct((-F.col("score")).alias("s"), "d", (-F.col("iou")).alias("k"), "l")
+    hits = greedy(pairs, order).select("image_id", F.col("d").alias("n"), F.lit(1).alias("hit"))
     return dets.join(hits, ["image_id", "n"], "left").groupBy("score").agg(F.count("*").alias("dets"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
 
 

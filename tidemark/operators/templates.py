@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
-from tidemark.operators import tools
+from tidemark.operators import spatial, tools
 from tidemark.sources import entities as E
 from tidemark.sources.entities import table, with_entities
 from tidemark.operators.tools import with_tools
@@ -64,26 +64,27 @@ def _simple(build, columns):
 def wide(spark: SparkSession, sf_dir: str, source: str = "label") -> DataFrame:
     """One row an image with all that any template asks for, so that all 23 answers are projections of one plan."""
     f = _with_stats(spark, sf_dir, source)
-    ends = f.select("image_id", F.least("longest", "shortest").alias("first"), F.greatest("longest", "shortest").alias("last"), "longest")
-    d4, na, nb = F.col("d4"), F.col("na"), F.col("nb")
-    near = tools.pairs(E.boxes(spark, sf_dir, source)).join(ends, "image_id").groupBy("image_id").agg(
-        F.min("d4").alias("pair_d4"),
-        F.min(F.when((na == F.col("longest")) | (nb == F.col("longest")), d4)).alias("neighbour_d4"),
-        F.min(F.when((na == F.col("first")) & (nb == F.col("last")), d4)).alias("ends_d4"),
-    )
+    boxes = E.boxes(spark, sf_dir, source)
+    near = tools.nearest_pair(boxes).select("image_id", F.col("d4").alias("pair_d4"))
+    ends = f.where("n_boxes > 0").select("image_id", F.col("longest").alias("pick"), "shortest")
+    far = spatial.from_box(boxes, ends.select("image_id", "pick")).join(ends, "image_id").groupBy("image_id").agg(
+        F.min("d4").alias("neighbour_d4"), F.min(F.when(F.col("n") == F.col("shortest"), F.col("d4"))).alias("ends_d4")
+    )
+    near = near.join(far, "image_id", "full_outer")
     px = {f"{c}_px": G.distance(F.col(f"{c}_d4")) for c in ("pair", "neighbour", "ends")}
     return f.join(near, "image_id", "left").withColumns(px)
 
 
 def longest_neighbour(spark, sf_dir, source="label"):
-    near = tools.neighbours(E.boxes(spark, sf_dir, source)).select("image_id", F.col("n").alias("longest"), "d4")
-    return _facts(spark, sf_dir, source).join(near, ["image_id", "longest"], "left").select(*number(G.distance(F.col("d4"))))
+    f = _facts(spark, sf_dir, source)
+    near = spatial.from_box(E.boxes(spark, sf_dir, source), f.select("image_id", F.col("longest").alias("pick"))).groupBy("image_id").agg(F.min("d4").alias("d4"))
+    return f.join(near, "image_id", "left").select(*number(G.distance(F.col("d4"))))
 
 
 def longest_shortest(spark, sf_dir, source="label"):
-    p = tools.pairs(E.boxes(spark, sf_dir, source))
-    f = _facts(spark, sf_dir, source).select("image_id", F.least("longest", "shortest").alias("na"), F.greatest("longest", "shortest").alias("nb"))
-    return f.join(p, ["image_id", "na", "nb"], "left").select(*number(G.distance(F.col("d4"))))
+    f = _facts(spark, sf_dir, source)
+    far = spatial.from_box(E.boxes(spark, sf_dir, source), f.select("image_id", F.col("longest").alias("pick"))).withColumnRenamed("n", "shortest")
+    return f.join(far, ["image_id", "shortest"], "left").select(*number(G.distance(F.col("d4"))))
 
 
 longest_neighbour.columns = lambda: number("neighbour_px")

@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
+from tidemark.operators.spatial import nearest_pair, neighbours
+
+__all__ = ["facts", "first_largest", "nearest_pair", "neighbours", "pairs", "pixel_stats", "pixels", "stats_by_quadrant", "with_stats", "with_tools"]
 
 #: Boxes of at least this long side count as long.
 LONG = 45
@@ -38,25 +41,11 @@ def facts(images: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def pairs(boxes: DataFrame) -> DataFrame:
-    """All pairs a < b of an image's boxes with d4."""
+    """All pairs a < b of an image's boxes with d4; for the nearest ones see spatial."""
     a, b = boxes.alias("a"), boxes.alias("b")
     return a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.n") < F.col("b.n"))).select(F.col("a.image_id"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), G.d4("a", "b").alias("d4"))
 
 
-def nearest_pair(boxes: DataFrame) -> DataFrame:
-    """image_id, na, nb, d4: the closest pair, ties by the boxes' numbers. One pass, a minimum for each image."""
-    best = pairs(boxes).groupBy("image_id").agg(F.min(F.struct("d4", "na", "nb")).alias("p"))
-    return best.select("image_id", "p.na", "p.nb", "p.d4")
-
-
-def neighbours(boxes: DataFrame) -> DataFrame:
-    """image_id, n, other, d4: each box's nearest other box in the image."""
-    both = pairs(boxes)
-    both = both.select("image_id", "d4", F.explode(F.array(F.struct(F.col("na").alias("n"), F.col("nb").alias("other")), F.struct(F.col("nb").alias("n"), F.col("na").alias("other")))).alias("e"))
-    best = both.groupBy("image_id", "e.n").agg(F.min(F.struct("d4", "e.other")).alias("p"))
-    return best.select("image_id", "n", "p.other", "p.d4")
-
-
 def pixels(embeddings: DataFrame) -> DataFrame:
     """vec_id, row, col, p, masked: the 64 pixels of each image; the mask is the label box of two by two."""
     level = F.least(F.greatest(F.floor((F.col("v").cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")
