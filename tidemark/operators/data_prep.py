@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.graphs import components
+from tidemark.functions.shared import cut
 from tidemark.sources import entities as E
 from tidemark.sources.entities import table, with_entities
 
@@ -87,11 +88,11 @@ def dhash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dhash(table(spark, sf_dir, "embeddings"))
 
 
-def near(hashes: DataFrame, bits: int = BITS, bands: int = BANDS, width: int = 60) -> DataFrame:
-    """Pairs a < b of at most `bits` differing bits.
+def near_hashes(hashes: DataFrame, bits: int = BITS, bands: int = BANDS, width: int = 60) -> DataFrame:
+    """b, c, distance of the different hashes (b < c) of at most `bits` differing bits; hashes: b.
 
     All but `bits` of the bands agree in such a pair, so so many bands together are the join key, once for each choice of
-    them. Different hashes are joined; what has the same hash is brought in at the end, when only results are left.
+    them.
     """
     each = -(-width // bands)
     masks = [sum(((1 << each) - 1) << k * each for k in kept) for kept in combinations(range(bands), bands - bits)]
@@ -99,13 +100,78 @@ def near(hashes: DataFrame, bits: int = BITS, bands: int = BANDS, width: int = 6
     h = hashes.select("b").distinct().select("b", F.explode(kinds).alias("key"))
     x, y = h.alias("x"), h.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")))
-    pairs = pairs.where(F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))) <= bits).select(F.col("x.b").alias("b"), F.col("y.b").alias("c")).distinct()
+    distance = F.bit_count(F.col("x.b").bitwiseXOR(F.col("y.b"))).cast("int").alias("distance")
+    return pairs.select(F.col("x.b").alias("b"), F.col("y.b").alias("c"), distance).where(F.col("distance") <= bits).distinct()
+
+
+def near(hashes: DataFrame, bits: int = BITS, bands: int = BANDS, width: int = 60) -> DataFrame:
+    """Pairs a < b of at most `bits` differing bits, every copy with every copy; near_classes tells the same without.
+
+    Different hashes are joined; what has the same hash is brought in at the end, when only results are left.
+    """
+    pairs = near_hashes(hashes, bits, bands, width)
     other = hashes.select(F.col("vec_id").alias("other"), F.col("b").alias("c"))
     found = hashes.join(pairs, "b").join(other, "c").select(F.least("vec_id", "other").alias("a"), F.greatest("vec_id", "other").alias("b"))
     same = hashes.alias("h").join(other, (F.col("h.b") == F.col("c")) & (F.col("vec_id") < F.col("other"))).select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
     return found.unionByName(same)
 
 
+#: Set bits of a hash that tells enough to be compared.
+INFORMATIVE = (12, 52)
+
+
+def near_classes(hashes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of hashes with enough structure: vec_id, b, split and scene_group, a null of which differs from none.
+
+    members: vec_id, class, the smallest vec_id with the same hash, and n_near, the number of other rows it is near to across
+    splits and groups. links: class_a <= class_b, distance, n_pairs, the pairs of rows of both classes of different split
+    *and* different group, over 0; class_a = class_b is the class's own copies. Pairs are counted from the sizes of a
+    class's parts (split, group), so rows and links are all that is made, however many copies there are.
+    """
+    rows = cut(hashes.where(F.bit_count("b").between(*INFORMATIVE)).select("vec_id", "b", "split", "scene_group"))
+    part = rows.groupBy("b", "split", "scene_group").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    part = cut(part)
+    heads = cut(part.groupBy("b").agg(F.min("least").alias("class")))
+    both = near_hashes(heads, bits).unionByName(heads.select("b", F.col("b").alias("c"), F.lit(0).alias("distance")))
+    x, y = part.alias("x"), part.alias("y")
+    met = both.alias("p").join(x, F.col("p.b") == F.col("x.b")).join(y, F.col("p.c") == F.col("y.b"))
+    met = met.where((F.col("x.split") != F.col("y.split")) & (F.col("x.scene_group") != F.col("y.scene_group")))
+    met = cut(met.select(F.col("p.b").alias("b"), F.col("p.c").alias("c"), F.col("p.distance").alias("distance"), F.struct("x.split", "x.scene_group").alias("pb"), F.struct("y.split", "y.scene_group").alias("pc"), F.col("x.n").alias("nb"), F.col("y.n").alias("nc")))
+    # within a class each pair of parts is met from either side
+    n = F.when(F.col("b") == F.col("c"), F.sum(F.col("nb") * F.col("nc")) / 2).otherwise(F.sum(F.col("nb") * F.col("nc"))).cast("long")
+    links = met.groupBy("b", "c", "distance").agg(n.alias("n_pairs"))
+    named = links.join(heads.select("b", F.col("class").alias("one")), "b").join(heads.select(F.col("b").alias("c"), F.col("class").alias("two")), "c")
+    links = named.select(F.least("one", "two").alias("class_a"), F.greatest("one", "two").alias("class_b"), "distance", "n_pairs")
+    seen = met.select("b", F.col("pb").alias("p"), F.col("nc").alias("n")).unionByName(met.where("b <> c").select(F.col("c").alias("b"), F.col("pc").alias("p"), F.col("nb").alias("n")))
+    seen = seen.groupBy("b", "p").agg(F.sum("n").alias("n_near"))
+    members = rows.join(heads, "b").withColumn("p", F.struct("split", "scene_group")).join(seen, ["b", "p"], "left")
+    return members.select("vec_id", "class", F.coalesce("n_near", F.lit(0)).alias("n_near")), links
+
+
+def hashed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, b, split, scene_group of the pixel images."""
+    k = F.col("vec_id")
+    split = F.element_at(F.array(*(F.lit(x) for x in ("test", "dev", "det_train"))), (F.floor(k / 3) % 3 + 1).cast("int"))
+    return dhash(table(spark, sf_dir, "embeddings")).select("vec_id", "b", split.alias("split"), (k % 7).cast("int").alias("scene_group"))
+
+
+_NEAR = f"""with {_BITS}, rows as (select vec_id, cast(b as bigint) as b, ['test', 'dev', 'det_train'][vec_id // 3 % 3 + 1] as split, cast(vec_id % 7 as int) as grp from bits),
+able as (select *, min(vec_id) over (partition by b) as class from rows where bit_count(b) between {INFORMATIVE[0]} and {INFORMATIVE[1]}),
+found as (select x.vec_id as a, y.vec_id as b, x.class as ca, y.class as cb, cast(bit_count(xor(x.b, y.b)) as int) as distance from able x join able y on x.vec_id < y.vec_id and x.split <> y.split and x.grp <> y.grp and bit_count(xor(x.b, y.b)) <= {BITS})"""
+
+
+@query(f"{_NEAR} select vec_id, class, (select count(*) from found where a = vec_id or b = vec_id) as n_near from able")
+def near_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image that can be compared with its class of equal hashes and how many it is near to."""
+    return near_classes(hashed_images(spark, sf_dir))[0]
+
+
+@query(f"{_NEAR} select least(ca, cb) as class_a, greatest(ca, cb) as class_b, distance, count(*) as n_pairs from found group by all")
+def near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal hashes that are near to each other across splits and groups."""
+    return near_classes(hashed_images(spark, sf_dir))[1]
+
+
 @query(f"with {_BITS} select x.vec_id as a, y.vec_id as b from bits x join bits y on x.vec_id < y.vec_id and bit_count(cast(xor(cast(x.b as bigint), cast(y.b as bigint)) as bigint)) <= 4")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(dhash(table(spark, sf_dir, "embeddings")))
