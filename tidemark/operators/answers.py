@@ -68,13 +68,13 @@ def query(sql: str):
     return add
 
 
-def _per_image(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """image_id and one array of all templates' answers, in the order of KINDS."""
+def _per_image(spark: SparkSession, sf_dir: str, source: str, boxes: DataFrame | None = None) -> DataFrame:
+    """image_id and one array of all templates' answers, in the order of KINDS, named after the source; boxes: those of a source by another name."""
     one = lambda t, kind: F.struct(
         (F.lit(None) if kind == "category" else T.TEMPLATES[t].columns()[1]).cast("double").alias("num"),
         (T.TEMPLATES[t].columns()[1] if kind == "category" else F.lit(None)).cast("string").alias("cat"),
     )
-    return T.wide(spark, sf_dir, source).select("image_id", "scene_group", "split", F.array(*(one(t, kind) for t, _, kind, _, _ in KINDS)).alias(source))
+    return T.wide(spark, sf_dir, source if boxes is None else boxes).select("image_id", "scene_group", "split", F.array(*(one(t, kind) for t, _, kind, _, _ in KINDS)).alias(source))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

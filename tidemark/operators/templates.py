@@ -21,12 +21,17 @@ BRANCH_BOXES, BRANCH_QUADRANT, BRANCH_NOISE = 4, 2, 30.0
 WIDTH = G.SIZE
 
 
+def _boxes(spark, sf_dir, source):
+    """The boxes of a source by its name, or given boxes: image_id, n, corners."""
+    return source if isinstance(source, DataFrame) else E.boxes(spark, sf_dir, source)
+
+
 def _facts(spark, sf_dir, source="label"):
-    return tools.facts(E.images(spark, sf_dir), E.boxes(spark, sf_dir, source))
+    return tools.facts(E.images(spark, sf_dir), _boxes(spark, sf_dir, source))
 
 
 def _with_pair(spark, sf_dir, source="label"):
-    near = tools.nearest_pair(E.boxes(spark, sf_dir, source)).select("image_id", G.distance(F.col("d4")).alias("pair_px"))
+    near = tools.nearest_pair(_boxes(spark, sf_dir, source)).select("image_id", G.distance(F.col("d4")).alias("pair_px"))
     return _facts(spark, sf_dir, source).join(near, "image_id", "left")
 
 
@@ -64,7 +69,7 @@ def _simple(build, columns):
 def wide(spark: SparkSession, sf_dir: str, source: str = "label") -> DataFrame:
     """One row an image with all that any template asks for, so that all 23 answers are projections of one plan."""
     f = _with_stats(spark, sf_dir, source)
-    boxes = E.boxes(spark, sf_dir, source)
+    boxes = _boxes(spark, sf_dir, source)
     near = tools.nearest_pair(boxes).select("image_id", F.col("d4").alias("pair_d4"))
     ends = f.where("n_boxes > 0").select("image_id", F.col("longest").alias("pick"), "shortest")
     far = spatial.from_box(boxes, ends.select("image_id", "pick")).join(ends, "image_id").groupBy("image_id").agg(
@@ -77,13 +82,13 @@ def wide(spark: SparkSession, sf_dir: str, source: str = "label") -> DataFrame:
 
 def longest_neighbour(spark, sf_dir, source="label"):
     f = _facts(spark, sf_dir, source)
-    near = spatial.from_box(E.boxes(spark, sf_dir, source), f.select("image_id", F.col("longest").alias("pick"))).groupBy("image_id").agg(F.min("d4").alias("d4"))
+    near = spatial.from_box(_boxes(spark, sf_dir, source), f.select("image_id", F.col("longest").alias("pick"))).groupBy("image_id").agg(F.min("d4").alias("d4"))
     return f.join(near, "image_id", "left").select(*number(G.distance(F.col("d4"))))
 
 
 def longest_shortest(spark, sf_dir, source="label"):
     f = _facts(spark, sf_dir, source)
-    far = spatial.from_box(E.boxes(spark, sf_dir, source), f.select("image_id", F.col("longest").alias("pick"))).withColumnRenamed("n", "shortest")
+    far = spatial.from_box(_boxes(spark, sf_dir, source), f.select("image_id", F.col("longest").alias("pick"))).withColumnRenamed("n", "shortest")
     return f.join(far, ["image_id", "shortest"], "left").select(*number(G.distance(F.col("d4"))))
 
 
