@@ -85,3 +85,10 @@ def test_ibans_with_spaces_and_without_cue(spark):
     assert pii.redact(text, pii.spans(text)) == "account [ACCOUNT]."
     clean = pii.redacted(docs(spark, ["send DE89 3704 0044 0532 0130 00, GB29NWBK60161331926819 now"])).first()
     assert clean.text == "send [ACCOUNT], [ACCOUNT] now" and clean.n_chars == len(clean.text)
+
+
+def test_a_column_named_clean_stays(spark):
+    frame = docs(spark, ["write to a.b@example.org now", None]).withColumnRenamed("fp", "clean").withColumnRenamed("rank", "_clean")
+    rows = {r.doc_id: r for r in pii.redacted(frame).collect()}
+    assert pii.redacted(frame).columns == frame.columns and all(r.clean == 1 and r["_clean"] == 3 for r in rows.values())
+    assert "example" not in rows[0].text and rows[1].text is None

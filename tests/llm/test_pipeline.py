@@ -30,7 +30,7 @@ def test_mixture_orders_the_rows(spark, sf_dir):
 
 
 def test_every_query_is_registered():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([*(f"op{k}" for k in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([*(f"op{k}" for k in range(1, 14)), "pipeline"])
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 

@@ -113,3 +113,10 @@ def test_without_labels_or_rows(spark):
     assert {r.score for r in toxicity.score(docs(spark, texts), none).collect()} == {0.5}
     assert toxicity.score(docs(spark, texts).limit(0), labels(spark, toxic)).collect() == []
     assert toxicity.score(docs(spark, [None, "", "..."]), labels(spark, [1, 0, 1])).count() == 3
+
+
+def test_a_column_of_the_score_s_name_stays(spark):
+    texts, toxic = [f"you {w} thing" for w in ("vile", "kind", "vile", "kind")] * 5, [1, 0, 1, 0] * 5
+    frame = docs(spark, texts).withColumnRenamed("fp", "toxicity").withColumnRenamed("rank", "_toxicity")
+    kept = toxicity.reject(frame, labels(spark, toxic))
+    assert kept.columns == frame.columns and all(r.toxicity == 1 and r["_toxicity"] == 3 for r in kept.collect())

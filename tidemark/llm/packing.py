@@ -209,6 +209,10 @@ def pack(found: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ()
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, order: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, (ids), sequence_id, offset for each piece of each row."""
+    """doc_id, piece, start, length, ids_crc32, (ids), sequence_id, offset for each piece of each row.
+
+    A null or empty text is its end alone; repeated rows are packed each for itself; a text longer than a sequence is cut
+    into whole ones behind a shorter first piece, so texts may be of any length. No rows give no pieces.
+    """
     found = pieces(docs, tokenizer, doc_id, text, capacity, with_ids=with_ids, order=order)
     return pack(cut(found if with_ids else found.drop("ids")), capacity, order)

@@ -172,7 +172,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: in
     key is a hash of id and text.
 
     A null text counts as empty; texts without a word have the fingerprint zero and are linked like any other.
-    Repeated rows stay. component_id is the smallest id of the component; null ids don't count, and it is null
+    Repeated rows stay; a very long text is hashed in blocks of shingles. component_id is the smallest id of the component; null ids don't count, and it is null
     only if all ids are.
     """
     base = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"), F.xxhash64(doc_id, text).alias("key")))

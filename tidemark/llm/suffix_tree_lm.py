@@ -380,7 +380,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row's whole text.
 
     Held out are rows whose crc32(doc_id as text) mod folds is `held`; a null id counts as the empty text, a null text
-    as empty, which is its end alone. Without training text every base probability is 1 and the tree is uniform.
+    as empty, which is its end alone. Without training text every base probability is 1 and the tree is uniform. Repeated
+    rows each count and get a row each; texts of any length are scored whole, in pieces.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (crc_bucket(F.col(doc_id), folds) == held).alias("held_out"))
