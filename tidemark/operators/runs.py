@@ -6,6 +6,8 @@ agent: the count on the boxes that the condition gives, changed, left out or giv
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ CONDITIONS = [
     (10, "stepwise", "corrected:fp", 0, 1),
     (11, "stepwise", "corrected:loc", 0, 1),
 ]
+INPUTS = tuple(dict.fromkeys(i for _, _, i, _, _ in CONDITIONS))
 #: The conditions of each injected kind.
 INJECTED = {6: "miss", 7: "fp", 8: "loc"}
 FAIL_KINDS = ("format", "budget", "timeout")
@@ -51,29 +54,33 @@ def query(sql: str):
     return add
 
 
-def conditions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONDITIONS, "cond int, method string, input string, repeat int, prio int")
+def conditions(spark: SparkSession, asked: list[tuple] = CONDITIONS) -> DataFrame:
+    return spark.createDataFrame(asked, "cond int, method string, input string, repeat int, prio int")
 
 
 _CONDS = "conds as (select * from (values " + ", ".join(str(c) for c in CONDITIONS) + ') t(cond, "method", input, repeat, prio))'
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, input, n: the boxes of every image on every input; images without boxes have 0. Written once for all tables over runs."""
-    return once(spark, sf_dir, _counts)
-
-
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dets, labels = E.detections(spark, sf_dir), E.labels(spark, sf_dir)
-    parts = {"label": labels, "detected": dets, "pair": matching.matched(spark, sf_dir)}
-    union = injection.boxes(injection.injected(spark, sf_dir)[0]).select("image_id", F.concat(F.lit("injected:"), "kind").alias("input"))
-    for s, df in parts.items():
-        union = union.unionByName(df.select("image_id", F.lit(s).alias("input")))
-    names = [*parts, *(f"injected:{k}" for k in injection.KINDS)]
+def counts(spark: SparkSession, sf_dir: str, inputs: tuple[str, ...] = INPUTS) -> DataFrame:
+    """image_id, input, n: the boxes of every image on the inputs; images without boxes have 0. Written once for all tables that ask for the same inputs."""
+    return once(spark, sf_dir, _counts, tuple(sorted({"label", *inputs})))
+
+
+def _counts(spark: SparkSession, sf_dir: str, inputs: tuple[str, ...]) -> DataFrame:
+    # what a correction adds or drops follows from the number of pairs, so no corrected boxes are made here; a moved box is still one
+    columns = {"label": "label", "detected": "detected", **{f"injected:{k}": f"`injected:{k}`" for k in ("miss", "fp")}, "injected:loc": "label", "corrected:miss": "detected + label - pair", "corrected:fp": "pair", "corrected:loc": "detected"}
+    columns = {i: columns[i] for i in inputs}
+    needs = lambda part: any(part in e for e in columns.values())
+    kinds = tuple(k for k in ("miss", "fp") if f"injected:{k}" in columns)
+    parts = {"label": lambda: E.labels(spark, sf_dir), "detected": lambda: E.detections(spark, sf_dir), "pair": lambda: matching.matched(spark, sf_dir)}
+    found = {s: make() for s, make in parts.items() if s == "label" or needs(s)}
+    union = reduce(DataFrame.unionByName, (df.select("image_id", F.lit(s).alias("input")) for s, df in found.items()))
+    if kinds:
+        rows, _ = injection.inject(injection.labelled(spark, sf_dir), injection.calibrated(spark, sf_dir), kinds)
+        union = union.unionByName(injection.boxes(rows).select("image_id", F.concat(F.lit("injected:"), "kind").alias("input")))
+    names = [*found, *(f"injected:{k}" for k in kinds)]
     per = union.groupBy("image_id").agg(*(F.count_if(F.col("input") == s).alias(s) for s in names))
-    # what a correction adds or drops follows from the number of pairs, so no corrected boxes are made here
-    columns = {s: F.col(f"`{s}`") for s in names if s != "pair"} | {"corrected:miss": F.expr("detected + label - pair"), "corrected:fp": F.col("pair"), "corrected:loc": F.col("detected")}
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("input"), c.alias("n")) for s, c in columns.items()))).alias("x")
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("input"), F.expr(e).alias("n")) for s, e in columns.items()))).alias("x")
     return cut(per.select("image_id", each).select("image_id", "x.input", "x.n"))
 
 
@@ -87,13 +94,17 @@ def _key_uniform(what: str):
     return G.uniform(F.lit(what), F.col("cond"), F.col("qid"))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a run: question, condition, gold, reachable, answer, unit, fail_kind, n_calls, seconds, stage, run_id."""
-    n = counts(spark, sf_dir)
+def runs(spark: SparkSession, sf_dir: str, conds: tuple[int, ...] | None = None) -> DataFrame:
+    """One row a run: question, condition, gold, reachable, answer, unit, fail_kind, n_calls, seconds, stage, run_id.
+
+    conds: the conditions that are asked for (None: all); boxes are made for their inputs alone.
+    """
+    asked = [c for c in CONDITIONS if conds is None or c[0] in conds]
+    n = counts(spark, sf_dir, tuple(i for _, _, i, _, _ in asked))
     gold = n.where("input = 'label'").select("image_id", F.col("n").alias("gold"))
     q = questions(spark, sf_dir).join(gold, "image_id", "left").fillna(0, ["gold"])
     # eleven rows
-    each = q.join(F.broadcast(conditions(spark)), F.lit(True)).join(n, ["image_id", "input"], "left").fillna(0, ["n"])
+    each = q.join(F.broadcast(conditions(spark, asked)), F.lit(True)).join(n, ["image_id", "input"], "left").fillna(0, ["n"])
     each = each.withColumn("reachable", F.when(F.col("box_dependent"), F.col("n")).otherwise(F.col("gold"))).drop("n")
     a, f, u = _key_uniform("answer"), _key_uniform("fail"), _key_uniform("unit")
     failed = f < 80
@@ -119,9 +130,9 @@ runs as (select *, case when uf < 80 then ['format', 'budget', 'timeout'][uf % 3
 )
 
 
-def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graded(spark: SparkSession, sf_dir: str, conds: tuple[int, ...] | None = None) -> DataFrame:
     """Runs with correct, input_error, agent_error and the cell of the two."""
-    r = runs(spark, sf_dir)
+    r = runs(spark, sf_dir, conds)
     right = (F.col("answer") == F.col("gold")) & (F.col("unit") == "count")
     r = r.withColumn("correct", F.coalesce(right, F.lit(False)))
     r = r.withColumn("input_error", F.col("box_dependent") & (F.col("reachable") != F.col("gold")))
@@ -223,7 +234,7 @@ def by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def side_by_side(spark: SparkSession, sf_dir: str, a: int, b: int) -> DataFrame:
     """Two conditions on the same questions; one aggregation by question instead of a join of the runs with themselves."""
-    g = graded(spark, sf_dir).where(F.col("cond").isin(a, b))
+    g = graded(spark, sf_dir, (a, b))
     pick = lambda c, col, name: F.max(F.when(F.col("cond") == c, F.col(col))).alias(name)
     return g.groupBy("qid", "box_dependent").agg(*(pick(c, col, f"{col}_{s}") for s, c in (("a", a), ("b", b)) for col in ("correct", "answer")))
 
@@ -252,7 +263,7 @@ def run_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_GRADED}, c as (select {', '.join(f'count(*) filter (cond = {k} and correct) as c{k}' for k in (1, 2, 4, 5))}, count(*) filter (cond = 1) as n from graded) select c1 - c4 as stepwise_minus_batch_label, c2 - c5 as stepwise_minus_batch_detected, c1 - c2 as drop_stepwise, c4 - c5 as drop_batch, (c1 - c2) - (c4 - c5) as difference, n from c")
 def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrasts of the right answers of four conditions, all from one row of sums."""
-    g = graded(spark, sf_dir).agg(*(F.count_if((F.col("cond") == k) & F.col("correct")).alias(f"c{k}") for k in (1, 2, 4, 5)), F.count_if(F.col("cond") == 1).alias("n"))
+    g = graded(spark, sf_dir, (1, 2, 4, 5)).agg(*(F.count_if((F.col("cond") == k) & F.col("correct")).alias(f"c{k}") for k in (1, 2, 4, 5)), F.count_if(F.col("cond") == 1).alias("n"))
     e = F.expr
     return g.select(e("c1 - c4").alias("stepwise_minus_batch_label"), e("c2 - c5").alias("stepwise_minus_batch_detected"), e("c1 - c2").alias("drop_stepwise"), e("c4 - c5").alias("drop_batch"), e("(c1 - c2) - (c4 - c5)").alias("difference"), "n")
 
@@ -264,7 +275,7 @@ def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def injection_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right answers before and after each kind's injection, apart for questions whose answer it changes; one aggregation by question."""
-    g = graded(spark, sf_dir).where(F.col("cond").isin(1, *INJECTED))
+    g = graded(spark, sf_dir, (1, *INJECTED))
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), *(F.max(F.when(F.col("cond") == c, e)).alias(name) for e, name in ((F.col("reachable") != F.col("gold"), "answer_changed"), (F.col("correct"), "after")))) for c, k in INJECTED.items()))
     each = g.groupBy("qid").agg(F.max(F.when(F.col("cond") == 1, F.col("correct"))).alias("before"), kinds.alias("kinds")).select("before", F.explode("kinds").alias("x"))
     return each.groupBy("x.kind", "x.answer_changed").agg(F.count("*").alias("n"), F.count_if("before").alias("before"), F.count_if("x.after").alias("after"))
@@ -303,9 +314,9 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_GRADED} select run_id, case when not box_dependent or not input_error then 'none' when fix_miss and fix_fp then 'multiple' when fix_miss then 'miss' when fix_fp then 'fp' else 'composite' end as cause from (select g.run_id, g.box_dependent, g.input_error, coalesce(m.n, 0) = g.gold as fix_miss, coalesce(f.n, 0) = g.gold as fix_fp from graded g left join counts m on m.image_id = g.image_id and m.input = 'corrected:miss' left join counts f on f.image_id = g.image_id and f.input = 'corrected:fp' where g.input = 'detected')")
 def input_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kind of error whose correction alone brings the right answer back."""
-    n = counts(spark, sf_dir)
+    n = counts(spark, sf_dir, ("detected", "corrected:miss", "corrected:fp"))
     fixed = n.groupBy("image_id").agg(*(F.max(F.when(F.col("input") == f"corrected:{k}", F.col("n"))).alias(f"n_{k}") for k in ("miss", "fp")))
-    g = graded(spark, sf_dir).where("input = 'detected'").join(fixed, "image_id", "left").fillna(0, ["n_miss", "n_fp"])
+    g = graded(spark, sf_dir, tuple(c for c, _, i, _, _ in CONDITIONS if i == "detected")).join(fixed, "image_id", "left").fillna(0, ["n_miss", "n_fp"])
     m, f = F.col("n_miss") == F.col("gold"), F.col("n_fp") == F.col("gold")
     cause = F.when(~F.col("box_dependent") | ~F.col("input_error"), "none").when(m & f, "multiple").when(m, "miss").when(f, "fp").otherwise("composite")
     return g.select("run_id", cause.alias("cause"))
@@ -317,7 +328,7 @@ def input_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The accuracy of condition 1, its scene groups drawn anew."""
-    sums = graded(spark, sf_dir).where("cond = 1").groupBy("scene_group").agg(F.lit(1).alias("stat"), F.count_if("correct").alias("num"), F.count("*").alias("den"))
+    sums = graded(spark, sf_dir, (1,)).groupBy("scene_group").agg(F.lit(1).alias("stat"), F.count_if("correct").alias("num"), F.count("*").alias("den"))
     six = lambda c: (F.floor(F.col(c) * 1000000 + 0.5) / 1000000.0).alias(c)
     return bootstrap.intervals(cut(sums)).select(six("low"), six("high"), F.lit(bootstrap.REPLICATES).cast("long").alias("replicates"))
 
@@ -347,4 +358,4 @@ def language_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two run sets by level, in one pass."""
     at = lambda k, c: F.count_if((F.col("cond") == k) & c)
     failed = F.col("fail_kind").isNotNull()
-    return graded(spark, sf_dir).groupBy("level").agg(at(1, F.lit(True)).alias("n"), at(1, F.col("correct")).alias("first_right"), at(3, F.col("correct")).alias("second_right"), at(1, failed).alias("first_failed"), at(3, failed).alias("second_failed"))
+    return graded(spark, sf_dir, (1, 3)).groupBy("level").agg(at(1, F.lit(True)).alias("n"), at(1, F.col("correct")).alias("first_right"), at(3, F.col("correct")).alias("second_right"), at(1, failed).alias("first_failed"), at(3, failed).alias("second_failed"))
