@@ -26,8 +26,8 @@ from tidemark.functions.graphs import components
 from tidemark.llm.common import cut, fresh, values
 
 BYTES = 8
-#: Members of a list whose pairs are tallied.
-LIST = 256
+#: Members of a list whose pairs are tallied; so a fingerprint is in at most 6 * 31 pairs, however many near copies there are.
+LIST = 32
 #: Shingles are summed up in blocks, so that a very long text takes no more memory.
 BLOCK = 1 << 15
 
