@@ -26,7 +26,7 @@ from tidemark.llm.common import cut, ranked, values
 
 CAPACITY, END_ID = 1024, 2
 #: Words whose ids a task remembers, and the longest of them.
-REMEMBERED, WORD = 100_000, 40
+REMEMBERED, WORD = 400_000, 40
 
 
 @cache
