@@ -52,15 +52,30 @@ def _region(value: Column) -> Column:
     return F.coalesce(F.when(F.startswith(value, F.lit("[")) & numbers.isNotNull(), told), value, F.lit("full"))
 
 
-def call_key(tool: Column, args: Column, shape: bool = False) -> Column:
-    """What a call asks, as text; with shape, its references count by their paths. No arguments count as an empty object."""
-    read = lambda name: (_skeleton if shape else lambda v: v)(F.get_json_object(args, f"$.{name}"))
+#: The arguments that a key is made of.
+READ = ("region", "query", "ship_a", "ship_b")
+
+
+def _key(tool: Column, values: dict[str, Column], shape: bool) -> Column:
+    read = lambda name: (_skeleton if shape else lambda v: v)(values[name])
     region, asked = _region(read("region")), F.coalesce(read("query"), F.lit("-"))
     ends = [F.coalesce(read(c), F.lit("-")) for c in ("ship_a", "ship_b")]
     spatial = F.concat_ws("|", tool, asked, F.when(asked.isin(*REGION_QUERIES), region).otherwise("-"), *ends)
     return F.when(tool == "spatial_query", spatial).when(tool.isin("detect_ships", "image_stats"), F.concat_ws("|", tool, region)).otherwise(tool)
 
 
+def call_key(tool: Column, args: Column, shape: bool = False) -> Column:
+    """What a call asks, as text; with shape, its references count by their paths. No arguments count as an empty object."""
+    return _key(tool, {name: F.get_json_object(args, f"$.{name}") for name in READ}, shape)
+
+
+def keyed(rows: DataFrame, args: Column, *keep: str) -> DataFrame:
+    """keep, key and shape of each call, by call_key of args and of raw; each text is parsed once, not once for every use."""
+    both = rows.select(*keep, "tool", "raw", F.json_tuple(args, *READ).alias(*(f"own_{c}" for c in READ))).select("*", F.json_tuple("raw", *READ).alias(*(f"raw_{c}" for c in READ)))
+    of = lambda side: {c: F.col(f"{side}_{c}") for c in READ}
+    return both.select(*keep, "tool", _key(F.col("tool"), of("own"), False).alias("key"), _key(F.col("tool"), of("raw"), True).alias("shape"))
+
+
 def _nth(*by: str, order: str) -> Column:
     return F.row_number().over(W.partitionBy(*by).orderBy(order))
 
@@ -70,24 +85,25 @@ def leftovers(expected: DataFrame, calls: DataFrame) -> DataFrame:
 
     expected: EXPECTED; calls: CALLS, whose args are null where references didn't resolve. Calculations aren't matched here.
     Every program of a question is held against all of its calls. Steps and turns are unique in their question and program.
-    """
-    e = expected.where("tool <> 'calc'").withColumns({"key": call_key(F.col("tool"), F.col("args")), "shape": call_key(F.col("tool"), F.col("raw"), True)})
-    plans = expected.select("qid", "plan").distinct()
-    c = calls.where("tool <> 'calc'").join(plans, "qid").withColumns({"key": call_key(F.col("tool"), F.coalesce("args", "raw")), "shape": F.when(F.col("args").isNull(), call_key(F.col("tool"), F.col("raw"), True))})
-    columns = {"e": ["qid", "plan", "tool", "key", "shape", "step", "in_loop"], "c": ["qid", "plan", "tool", "key", "shape", "turn"]}
-    e, c = e.select(columns["e"]), c.select(columns["c"])
-
-    def level(e: DataFrame, c: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-        """What is left of both sides once equal values of `by` have met, the k-th with the k-th; null meets nothing."""
-        on = ["qid", "plan", by, "k"]
-        le, lc = e.withColumn("k", _nth("qid", "plan", by, order="step")), c.withColumn("k", _nth("qid", "plan", by, order="turn"))
-        there_e, there_c = le.select(on), lc.where(F.col(by).isNotNull()).select(on)
-        return cut(le.join(there_c, on, "left_anti").drop("k")), cut(lc.join(there_e, on, "left_anti").drop("k"))
 
-    e, c = level(e, c, "key")
-    e, c = level(e, c, "shape")
-    left = e.select("qid", "plan", "tool", "step", F.lit(None).cast("int").alias("turn"), "in_loop")
-    return left.unionByName(c.select("qid", "plan", "tool", F.lit(None).cast("int").alias("step"), "turn", F.lit(False).alias("in_loop")))
+    Both sides are one table, shuffled once by the question. The k-th of one side has met the k-th of the other if the other
+    has k of the value at all, so what is left is told by counts beside it, without a join.
+    """
+    e = keyed(expected.where("tool <> 'calc'"), F.col("args"), "qid", "plan", "step", "in_loop")
+    plans = expected.groupBy("qid").agg(F.collect_set("plan").alias("plans"))
+    told = calls.where("tool <> 'calc'")
+    c = keyed(told, F.coalesce("args", "raw"), "qid", "turn", "args").withColumn("shape", F.when(F.col("args").isNull(), F.col("shape"))).join(plans, "qid").withColumn("plan", F.explode("plans"))
+    both = e.select("qid", "plan", "tool", "key", "shape", "step", F.lit(None).cast("int").alias("turn"), "in_loop").unionByName(c.select("qid", "plan", "tool", "key", "shape", F.lit(None).cast("int").alias("step"), "turn", F.lit(False).alias("in_loop")))
+    rest = both.repartition("qid")
+    mine = F.col("step").isNotNull()
+    for by in ("key", "shape"):
+        of = W.partitionBy("qid", "plan", by)
+        # the side's own number comes first in its order, so one order serves both sides
+        here = of.orderBy("step", "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+        k = F.when(mine, F.count("step").over(here)).otherwise(F.count("turn").over(here))
+        other = F.when(mine, F.count("turn").over(of)).otherwise(F.count("step").over(of))
+        rest = rest.withColumn("met", F.col(by).isNotNull() & (k <= other)).where(~F.col("met")).drop("met")
+    return rest.select("qid", "plan", "tool", "step", "turn", "in_loop")
 
 
 def closest(expected: DataFrame, left: DataFrame) -> DataFrame:
@@ -144,7 +160,11 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CALLS: one program's calls, some left out, changed, made with another tool, made twice, or with references that don't resolve."""
-    p = programs(spark, sf_dir).where(F.col("plan") == F.when(F.col("qid") % 3 == 0, 1).otherwise(0))
+    return _edited(programs(spark, sf_dir))
+
+
+def _edited(expected: DataFrame) -> DataFrame:
+    p = expected.where(F.col("plan") == F.when(F.col("qid") % 3 == 0, 1).otherwise(0))
     u = G.uniform(F.lit("call"), F.col("qid"), F.col("step"))
     p = p.withColumn("u", u).where("u >= 80")
     other = F.when(F.col("raw").contains("distance"), F.regexp_replace("args", r'"ship_b": (\d+)', '"ship_b": 9$1')).otherwise(F.lit('{"query": "edge", "region": [1.0, 2, 3.5, 4]}'))
@@ -195,7 +215,8 @@ devs as (select qid, 2 as stage, turn, 'wrong_args' as kind, step from bytool wh
 
 def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Recorded calls, the closest program of each question, and what it leaves over."""
-    expected, calls = cut(programs(spark, sf_dir)), cut(recorded(spark, sf_dir))
+    expected = cut(programs(spark, sf_dir))
+    calls = cut(_edited(expected))
     left = cut(leftovers(expected, calls))
     best = cut(closest(expected, left))
     return calls, best, left.join(best.select("qid", "plan"), ["qid", "plan"], "left_semi")
