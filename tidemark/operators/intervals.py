@@ -47,16 +47,16 @@ def query(sql: str):
     return add
 
 
-def by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, scene_group, box_dependent, level, gold_calls and, by condition, r (right, 0 or 1), w (the boxes' answer is wrong), a (answer and unit) and e (the agent's error)."""
-    return once(spark, sf_dir, _by_question)
+def by_question(spark: SparkSession, sf_dir: str, conds: tuple[int, ...] = CONDITIONS) -> DataFrame:
+    """qid, scene_group, box_dependent, level, gold_calls and, by condition, r (right, 0 or 1), w (the boxes' answer is wrong), a (answer and unit) and e (the agent's error); boxes are made for the inputs of conds alone."""
+    return once(spark, sf_dir, _by_question, conds)
 
 
-def _by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = runs.graded(spark, sf_dir)
+def _by_question(spark: SparkSession, sf_dir: str, conds: tuple[int, ...]) -> DataFrame:
+    g = runs.graded(spark, sf_dir, conds)
     said = F.concat_ws("|", F.col("answer").cast("string"), "unit")
     what = {"r": F.col("correct").cast("int"), "w": F.col("reachable") != F.col("gold"), "a": F.when(F.col("answer").isNotNull(), said), "e": F.col("agent_error")}
-    at = [F.max(F.when(F.col("cond") == c, e)).alias(f"{k}{c}") for c in CONDITIONS for k, e in what.items()]
+    at = [F.max(F.when(F.col("cond") == c, e)).alias(f"{k}{c}") for c in conds for k, e in what.items()]
     return cut(g.groupBy("qid", "scene_group", "box_dependent", "level", "gold_calls").agg(*at))
 
 
@@ -93,11 +93,11 @@ def table_sql(start: str, rows: str, stats: list[Stat], names: str, group: str =
 told as (select {", ".join(columns)}, coalesce(den, 0)::bigint as n, coalesce(num, 0)::bigint as num, {four} from (values {keys}) t(stat, {", ".join(columns)}) left join intervals using (stat))"""
 
 
-def add(name: str, doc: str, stats: list[Stat], names: str) -> None:
-    """Register a table over questions."""
+def add(name: str, doc: str, stats: list[Stat], names: str, conds: tuple[int, ...] = CONDITIONS) -> None:
+    """Register a table over questions; conds: the conditions that its statistics name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(by_question(spark, sf_dir), stats, names)
+        return table(by_question(spark, sf_dir, conds), stats, names)
 
     run.__name__, run.__doc__ = name, doc
     QUERIES[name], ORACLE_SQL[name] = run, f"{table_sql(_BY_QUESTION, 'byq', stats, names)} select * from told"
@@ -108,16 +108,16 @@ add("accuracy_intervals", "Right answers of every condition, of all questions an
 
 DEPTHS = {**{f"gold_calls {k}": f"gold_calls = {k}" for k in range(1, 6)}, "gold_calls 6-9": "gold_calls >= 6"}
 PARTS = {**{f"L{k}": f"level = {k}" for k in range(1, 6)}, **DEPTHS}
-add("level_intervals", "Right answers by level and by the calls that the gold program makes.", [Stat((c, p), f"r{c}", m) for c in DECOMPOSED for p, m in PARTS.items()], "cond int, part string")
+add("level_intervals", "Right answers by level and by the calls that the gold program makes.", [Stat((c, p), f"r{c}", m) for c in DECOMPOSED for p, m in PARTS.items()], "cond int, part string", DECOMPOSED)
 
 CONTRASTS = {
     "drop of stepwise, 1 - 2": "r1 - r2", "drop of batch, 4 - 5": "r4 - r5", "difference of the drops": "r1 - r2 - r4 + r5",
     "batch - stepwise on labels, 4 - 1": "r4 - r1", "batch - stepwise on detections, 5 - 2": "r5 - r2",
 }
-add("contrast_intervals", "Drops of both methods, their difference, and the methods against each other.", [Stat((s, q), e, SUBSETS[s]) for s in ("all", "box_dependent") for q, e in CONTRASTS.items()], "subset string, quantity string")
+add("contrast_intervals", "Drops of both methods, their difference, and the methods against each other.", [Stat((s, q), e, SUBSETS[s]) for s in ("all", "box_dependent") for q, e in CONTRASTS.items()], "subset string, quantity string", DECOMPOSED)
 
 NOISE = {"right, first run": "r1", "right, second run": "r3", "difference, 1 - 3": "r1 - r3", "correctness differs": "cast(r1 <> r3 as int)", "answer differs": "cast(coalesce(a1, '-') <> coalesce(a3, '-') as int)"}
-add("noise_intervals", "Two runs of the same questions on the same boxes.", [Stat((s, q), e, m) for s, m in SUBSETS.items() for q, e in NOISE.items()], "subset string, quantity string")
+add("noise_intervals", "Two runs of the same questions on the same boxes.", [Stat((s, q), e, m) for s, m in SUBSETS.items() for q, e in NOISE.items()], "subset string, quantity string", (1, 3))
 
 #: The questions that an injection changes or not, and those that the detections get wrong and a correction brings back or not.
 EFFECTS = [
