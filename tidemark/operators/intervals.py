@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bootstrap
-from tidemark.functions.shared import cut, once
+from tidemark.functions.shared import cut, filed
 from tidemark.operators import matching, runs
 from tidemark.operators.matching import _WITH
 from tidemark.operators.runs import _GRADED
@@ -48,16 +48,11 @@ def query(sql: str):
 
 
 def by_question(spark: SparkSession, sf_dir: str, conds: tuple[int, ...] = CONDITIONS) -> DataFrame:
-    """qid, scene_group, box_dependent, level, gold_calls and, by condition, r (right, 0 or 1), w (the boxes' answer is wrong), a (answer and unit) and e (the agent's error); boxes are made for the inputs of conds alone."""
-    return once(spark, sf_dir, _by_question, conds)
+    """qid, scene_group, box_dependent, level, gold_calls and, by condition, r (right, 0 or 1), w (the boxes' answer is wrong), a (answer and unit) and e (the agent's error); boxes are made for the inputs of conds alone.
 
-
-def _by_question(spark: SparkSession, sf_dir: str, conds: tuple[int, ...]) -> DataFrame:
-    g = runs.graded(spark, sf_dir, conds)
-    said = F.concat_ws("|", F.col("answer").cast("string"), "unit")
-    what = {"r": F.col("correct").cast("int"), "w": F.col("reachable") != F.col("gold"), "a": F.when(F.col("answer").isNotNull(), said), "e": F.col("agent_error")}
-    at = [F.max(F.when(F.col("cond") == c, e)).alias(f"{k}{c}") for c in conds for k, e in what.items()]
-    return cut(g.groupBy("qid", "scene_group", "box_dependent", "level", "gold_calls").agg(*at))
+    An image's numbers are one row, so a question's runs are told side by side in it: no run is shuffled.
+    """
+    return runs.side_by_condition(spark, sf_dir, conds)
 
 
 _BY_QUESTION = f"""{_GRADED}, byq as materialized (select qid, scene_group, box_dependent, level, gold_calls, {", ".join(f"max(correct::int) filter (cond = {c}) as r{c}, bool_or(reachable <> gold) filter (cond = {c}) as w{c}, max(case when answer is not null then answer || '|' || unit end) filter (cond = {c}) as a{c}, bool_or(agent_error) filter (cond = {c}) as e{c}" for c in CONDITIONS)} from graded group by all)"""
@@ -139,7 +134,8 @@ _BOTH = {"both_right": "r{a} = 1 and r{b} = 1", "only_a": "r{a} = 1 and r{b} = 0
 )
 def paired_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of two conditions on the same questions, with how often both, one or none is right."""
-    rows = by_question(spark, sf_dir)
+    # read twice
+    rows = filed(by_question(spark, sf_dir))
     four = rows.agg(*(F.expr(f"count_if({SUBSETS[s]} and {e.format(a=a, b=b)})").alias(f"{k}_{i}") for i, (a, b, _, s) in enumerate(PAIRS) for k, e in _BOTH.items()))
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("subset"), F.lit(_PRIMARY(a, b, s) and role == "main").alias("primary_subset"), *(F.col(f"{k}_{i}").alias(k) for k in _BOTH)) for i, (a, b, role, s) in enumerate(PAIRS))))
     told = table(rows, PAIR_STATS, PAIR_NAMES)
