@@ -18,7 +18,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
-from tidemark.functions.shared import cut, once
 from tidemark.operators import answers, generator
 from tidemark.operators import templates as T
 from tidemark.operators.generator import FEWEST, MOST
@@ -103,13 +102,14 @@ def drawn(found: DataFrame) -> DataFrame:
     noise = lambda i: F.floor(F.col("noise_full") * F.get(F.array(*(F.lit(f) for f in FACTORS)), i) * 2 + 0.5) / 2
     calm = F.filter(F.sequence(F.lit(0), F.lit(len(FACTORS) - 1)), lambda i: (noise(i) > 0) & (F.abs(F.col("noise_full") - noise(i)) * TENTH > noise(i)))
     d = found.withColumns({"clear": clear, "noisy": T._NOISY(), "dense": T._largest("n")})
+    d = d.withColumns({"n_clear": F.size("clear"), "n_splits": F.size(splits), "n_calm": F.size(calm), "n_bounds": F.size(clear_counts(F.col("n_boxes"), BOXES))})
     d = d.withColumns({
         "quadrant": pick("l1_quadrant_count", regions), "shown": pick("l1_brightness", F.array(F.lit("full"), *(F.lit(q) for q in Q))), "w": pick("l1_rect_count w", sides), "h": pick("l1_rect_count h", sides),
         "over": pick("l2_count_over_length", splits), "long": pick("l3_quadrant_most_long", F.col("clear")), "boxes": pick("l4_count_branch", clear_counts(F.col("n_boxes"), BOXES)), "part": pick("l4_quadrant_branch region", regions),
         "most": pick("l4_maxlen_branch", F.col("clear")), "u": pick("l4_noise_branch", calm), "k": pick("l5_noisy_quadrant k", F.sequence(*(F.lit(v) for v in QUADRANT_BOXES))), "t": pick("l5_noisy_quadrant", F.col("clear")), "scene_t": pick("l5_scene_quadrant", F.col("clear")),
     })
     places = lambda side: F.sequence(F.lit(0), G.SIZE - side, F.lit(GRID))
-    d = d.withColumns({"x": pick("l1_rect_count x", places(F.col("w"))), "y": pick("l1_rect_count y", places(F.col("h"))), "part_boxes": pick("l4_quadrant_branch", clear_counts(T._of_quadrant("n", F.col("part")), QUADRANT_BOXES)), "noise_t": noise(F.col("u"))})
+    d = d.withColumns({"x": pick("l1_rect_count x", places(F.col("w"))), "y": pick("l1_rect_count y", places(F.col("h"))), "part_boxes": pick("l4_quadrant_branch", clear_counts(T._of_quadrant("n", F.col("part")), QUADRANT_BOXES)), "n_part_bounds": F.size(clear_counts(T._of_quadrant("n", F.col("part")), QUADRANT_BOXES)), "noise_t": noise(F.col("u"))})
     over = lambda q: _number(lambda b: (b["q"] == q) & (b["s"] >= F.col("long")))
     return d.withColumns({f"over_{q}": over(q) for q in Q})
 
@@ -124,6 +124,13 @@ def places() -> dict[str, dict[str, Column]]:
     }
 
 
+#: The number of choices of a template's place, where there may be none; a number is told without the hashes of a draw.
+CHOICES = {
+    "l2_count_over_length": "n_splits", "l3_quadrant_most_long": "n_clear", "l4_count_branch": "n_bounds", "l4_quadrant_branch": "n_part_bounds", "l4_maxlen_branch": "n_clear", "l4_noise_branch": "n_calm",
+    "l5_noisy_quadrant": "n_clear", "l5_scene_quadrant": "n_clear",
+}
+
+
 def checks() -> dict[str, list[tuple[Column, str]]]:
     """What speaks against asking a template of an image, the first that holds counts."""
     few, longest, shortest = F.col("n_boxes") < PAIR, ~single(F.col("sides"), F.array_max), ~single(F.col("sides"), F.array_min)
@@ -163,34 +170,31 @@ def branches_drawn() -> dict[str, Column]:
     }
 
 
-def told(rows: DataFrame) -> DataFrame:
+def told(rows: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
     """image_id, scene_group, split, template, level, answer_type, SLOTS, reason, num or cat, took: every template on each of drawn's rows.
 
     A template whose place has no clear choice has NO_CHOICE as its reason; an answer is told only where there is no reason.
+    keep: what of a template is asked for (None: all); nothing else is drawn.
     """
     slots, against, own, took = places(), checks(), answers_drawn(), branches_drawn()
 
     def one(t, level, kind):
         mine = slots.get(t, {})
-        missing = [(reduce(lambda a, b: a | b, (v.isNull() for v in mine.values())), NO_CHOICE)] if mine else []
+        missing = [(F.col(CHOICES[t]) == 0, NO_CHOICE)] if t in CHOICES else []
         reason = reduce(lambda e, r: e.when(*r), [*missing, *against.get(t, [])], F.when(F.lit(False), ""))
         value = own[t] if t in own else T.TEMPLATES[t].columns()[1]
         num, cat = (F.lit(None), value) if kind == "category" else (value, F.lit(None))
         fixed = {"template": F.lit(t), "level": F.lit(level), "answer_type": F.lit(kind), **{c: mine.get(c, F.lit(None)).cast(k) for c, k in SLOTS.items()}}
         more = {"reason": reason, "num": F.when(reason.isNull(), num.cast("double")), "cat": F.when(reason.isNull(), cat.cast("string")), "took": took.get(t, F.lit(None)).cast("boolean")}
-        return F.struct(*(v.alias(c) for c, v in (fixed | more).items()))
+        return F.struct(*(v.alias(c) for c, v in (fixed | more).items() if keep is None or c in keep))
 
     each = F.explode(F.array(*(one(t, level, kind) for t, level, kind, _, _ in answers.KINDS))).alias("x")
     return rows.select("image_id", "scene_group", "split", each).select("image_id", "scene_group", "split", "x.*")
 
 
-def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """told over all eligible images and label boxes; written once for all tables."""
-    return once(spark, sf_dir, _draws)
-
-
-def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(told(drawn(drawable(T.wide(spark, sf_dir), E.labels(spark, sf_dir)))))
+def draws(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """told over all eligible images and label boxes. Every table reads it once, so it isn't written: it has 23 rows an image."""
+    return told(drawn(drawable(T.wide(spark, sf_dir), E.labels(spark, sf_dir))), keep)
 
 
 def candidates(spark: SparkSession, sf_dir: str, split: str = generator.SPLIT) -> DataFrame:
@@ -283,4 +287,4 @@ def slotted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_DRAWS} select template, coalesce(reason, 'asked') as reason, count(*) as n from draws group by all")
 def slot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many images each template can be asked of, and what speaks against the others."""
-    return draws(spark, sf_dir).groupBy("template", F.coalesce("reason", F.lit("asked")).alias("reason")).agg(F.count("*").alias("n"))
+    return draws(spark, sf_dir, ("template", "reason")).groupBy("template", F.coalesce("reason", F.lit("asked")).alias("reason")).agg(F.count("*").alias("n"))
