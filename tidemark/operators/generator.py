@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
-from tidemark.functions.shared import cut, once
+from tidemark.functions.shared import cut, filed, once
 from tidemark.operators import answers
 from tidemark.operators import templates as T
 from tidemark.sources import entities as E
@@ -101,7 +101,7 @@ def assign(found: DataFrame, quotas: dict[str, int], per_image: int = PER_IMAGE)
     """
     spark = found.sparkSession
     bound = F.broadcast(spark.createDataFrame(caps(quotas), "template string, quota int, same_cap int, zero_cap int"))
-    able = cut(found.join(bound, "template").where("quota > 0").withColumn("balance", F.coalesce("balance", F.lit(""))))
+    able = filed(found.join(bound, "template").where("quota > 0").withColumn("balance", F.coalesce("balance", F.lit(""))))
     groups = able.select("scene_group").distinct().count()
     # key of a cap, what it allows, the rows that it counts
     limits = [
