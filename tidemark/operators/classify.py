@@ -1,21 +1,20 @@
 """Classification of run records: interpretation, reading, branch and order, calculation, formatting, and the first deviation.
 
 A record holds what a run wrote down, as JSON text: its interpretation, tool calls, readings and decisions. The JSON is
-parsed by column expressions, and since all of a run lies in one row, each stage is a projection over its arrays; only
-the rules that weigh the deviations of a question against each other bring rows together, by question. The records are a
-plain test input, made from the traces and a hash of the question.
+parsed by column expressions, and since all of a run lies in one row, each stage is a projection over its arrays, and so
+are the rules that weigh the deviations of a question against each other: no call, reading or deviation is shuffled. The
+records are a plain test input, made from the traces and a hash of the question.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
+from tidemark.functions.shared import apart
 from tidemark.operators import traces as T
 from tidemark.operators.perturb import _U
-from tidemark.sources import entities as E
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +22,7 @@ CALLS = "array<struct<turn: int, call_id: string, tool: string, arg: int, ref: s
 READINGS = "array<struct<turn: int, source: string, field: string, value: int>>"
 DECISIONS = "array<struct<turn: int, condition_from: string, condition_value: int, chosen: string>>"
 INTERPRETATION = "struct<target: string, region: string, filters: string, unit: string>"
+DEVS = "array<struct<turn: int, kind: string, harmless: boolean>>"
 #: The branch's threshold, the expected unit.
 THRESHOLD, UNIT = 25, "count"
 
@@ -40,75 +40,86 @@ def _value(turn: Column) -> Column:
     return ((F.col("qid") + 3 * turn) % 50).cast("int")
 
 
-def golds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, the gold interpretation, has_branch, gold_branch, reachable and the arguments of the gold calculations."""
+def with_golds(asked: DataFrame) -> DataFrame:
+    """asked, with the gold interpretation, has_branch, gold_branch, reachable and the arguments of the gold calculations."""
     q = F.col("qid")
-    calcs = T.plans(spark, sf_dir).where("tool = 'calc'").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "arg"))), lambda c: c["arg"]).alias("gold_calcs"))
-    rows = E.images(spark, sf_dir).select(F.col("image_id").alias("qid")).select(
-        "qid",
-        F.struct(
-            F.when(q % 2 == 1, "count").otherwise("size").alias("target"),
-            F.when(q % 4 == 0, "full").otherwise(F.concat(F.lit("r"), q % 4)).alias("region"),
-            F.when(q % 5 == 0, "side > 60").alias("filters"),
-            F.lit(UNIT).alias("unit"),
-        ).alias("gold"),
-        (q % 3 == 0).alias("has_branch"),
-        F.when(_value(F.lit(2)) > THRESHOLD, "then").otherwise("else").alias("gold_branch"),
-        _value(q % 5 + 2).alias("reachable"),
-    )
-    return rows.join(calcs, "qid", "left").withColumn("gold_calcs", F.coalesce("gold_calcs", F.array().cast("array<int>")))
-
-
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, interpretation, calls, readings, decisions (JSON text), has_answer, answer_value, answer_unit, format_ok."""
-    u = lambda what, *key: G.uniform(F.lit(what), F.col("qid"), *(F.col(k) for k in key))
-    turn, q = F.col("turn"), F.col("qid")
-    early = u("order", "turn") % 25 == 0
-    after = F.concat(F.lit("c"), turn + 1)
-    call = F.struct(
-        turn.cast("int").alias("turn"),
-        F.concat(F.lit("c"), turn).alias("call_id"),
-        "tool",
-        "arg",
-        F.when(early, F.concat(F.lit("$"), after, F.lit(".value"))).when((turn > 1) & (u("ref", "turn") % 10 != 0), F.concat(F.lit("$c"), turn - 1, F.lit(".value"))).alias("ref"),
-        F.when(early, F.concat(F.lit("no such call or variable '"), after, F.lit("'"))).alias("error"),
-        _value(turn).alias("value"),
-    )
-    source = F.when(u("lost", "turn") % 20 == 0, "$c99").otherwise(F.concat(F.lit("$c"), turn))
-    reading = F.struct(turn.cast("int").alias("turn"), source.alias("source"), F.lit("value").alias("field"), (_value(turn) + F.when(u("misread", "turn") % 8 == 0, 1).otherwise(0)).alias("value"))
-    read = _value(turn) + F.when(u("miscondition") % 6 == 0, 1).otherwise(0)
-    chosen = F.when((read > THRESHOLD) != (u("flip") % 7 == 0), "then").otherwise("else")
-    decision = F.struct(turn.cast("int").alias("turn"), F.concat(F.lit("$c"), turn, F.lit(".value")).alias("condition_from"), read.alias("condition_value"), chosen.alias("chosen"))
-    listed = lambda x: F.to_json(F.sort_array(F.collect_list(x)))
-    rows = T.traces(spark, sf_dir).groupBy("qid").agg(
-        listed(call).alias("calls"),
-        listed(F.when(u("read", "turn") % 2 == 0, reading)).alias("readings"),
-        listed(F.when((q % 3 == 0) & (turn == 2), decision)).alias("decisions"),
-        F.max_by(_value(turn), turn).alias("last_value"),
+    return asked.withColumns(
+        {
+            "gold": F.struct(
+                F.when(q % 2 == 1, "count").otherwise("size").alias("target"),
+                F.when(q % 4 == 0, "full").otherwise(F.concat(F.lit("r"), q % 4)).alias("region"),
+                F.when(q % 5 == 0, "side > 60").alias("filters"),
+                F.lit(UNIT).alias("unit"),
+            ),
+            "has_branch": q % 3 == 0,
+            "gold_branch": F.when(_value(F.lit(2)) > THRESHOLD, "then").otherwise("else"),
+            "reachable": _value(q % 5 + 2),
+            "gold_calcs": F.transform(F.filter("plan", lambda c: c["tool"] == "calc"), lambda c: c["arg"]),
+        }
     )
+
+
+def recorded(asked: DataFrame) -> DataFrame:
+    """asked, with interpretation, calls, readings, decisions (JSON text), has_answer, answer_value, answer_unit, format_ok; no row without calls."""
+    u = lambda what, *key: G.uniform(F.lit(what), F.col("qid"), *key)
+    joined = lambda *parts: F.concat_ws("", *parts)
+    q, turns = F.col("qid"), F.size("trace")
+    made = F.transform("trace", lambda c: F.struct(c["turn"].alias("turn"), c["tool"].alias("tool"), c["arg"].alias("arg"), (u("order", c["turn"]) % 25 == 0).alias("early")))
+
+    def call(c: Column) -> Column:
+        turn, early = c["turn"], c["early"]
+        after = joined(F.lit("c"), turn + 1)
+        return F.struct(
+            turn.alias("turn"),
+            joined(F.lit("c"), turn).alias("call_id"),
+            c["tool"].alias("tool"),
+            c["arg"].alias("arg"),
+            F.when(early, joined(F.lit("$"), after, F.lit(".value"))).when((turn > 1) & (u("ref", turn) % 10 != 0), joined(F.lit("$c"), turn - 1, F.lit(".value"))).alias("ref"),
+            F.when(early, joined(F.lit("no such call or variable '"), after, F.lit("'"))).alias("error"),
+            _value(turn).alias("value"),
+        )
+
+    def reading(c: Column) -> Column:
+        turn = c["turn"]
+        source = F.when(u("lost", turn) % 20 == 0, "$c99").otherwise(joined(F.lit("$c"), turn))
+        return F.struct(turn.alias("turn"), source.alias("source"), F.lit("value").alias("field"), (_value(turn) + F.when(u("misread", turn) % 8 == 0, 1).otherwise(0)).alias("value"))
+
+    second = _value(F.lit(2)) + F.when(u("miscondition") % 6 == 0, 1).otherwise(0)
+    chosen = F.when((F.col("second") > THRESHOLD) != (u("flip") % 7 == 0), "then").otherwise("else")
+    decision = F.struct(F.lit(2).alias("turn"), F.lit("$c2.value").alias("condition_from"), F.col("second").alias("condition_value"), chosen.alias("chosen"))
     agent = F.struct(
         F.when((q % 2 == 1) == (u("target") % 10 != 0), "count").otherwise("size").alias("target"),
-        F.when((q % 4 == 0) & (u("region") % 9 != 0), "full").otherwise(F.concat(F.lit("r"), (q + F.when(u("region") % 9 == 0, 1).otherwise(0)) % 4)).alias("region"),
+        F.when((q % 4 == 0) & ~F.col("astray"), "full").otherwise(F.concat(F.lit("r"), (q + F.when(F.col("astray"), 1).otherwise(0)) % 4)).alias("region"),
         F.when((q % 5 == 0) & (u("filters") % 6 != 0), "side > 60").alias("filters"),
         F.when(u("said") % 5 == 0, "px").otherwise(UNIT).alias("unit"),
     )
     slip = F.when(u("slip") % 9 == 0, 1).otherwise(0)
-    return rows.select(
-        "qid", F.to_json(agent).alias("interpretation"), "calls", "readings", "decisions",
-        (u("silent") % 15 != 0).alias("has_answer"), (F.col("last_value") + slip).cast("int").alias("answer_value"),
-        F.when(u("px") % 12 == 0, "px").otherwise(UNIT).alias("answer_unit"), (u("malformed") % 30 != 0).alias("format_ok"),
+    rows = apart(asked.where(turns > 0), second=second, astray=u("region") % 9 == 0)
+    # one generator for what is compiled, one for what passes through arrays
+    rows = apart(
+        rows,
+        interpretation=F.to_json(agent), decisions=F.coalesce(F.to_json(F.when((q % 3 == 0) & (turns > 1), F.array(decision))), F.lit("[]")),
+        has_answer=u("silent") % 15 != 0, answer_value=(_value(turns) + slip).cast("int"),
+        answer_unit=F.when(u("px") % 12 == 0, "px").otherwise(UNIT), format_ok=u("malformed") % 30 != 0,
     )
+    rows = apart(rows, made=made)
+    readings = F.transform(F.filter("made", lambda c: u("read", c["turn"]) % 2 == 0), reading)
+    return apart(rows, calls=F.to_json(F.transform("made", call)), readings=F.to_json(readings)).drop("made", "second", "astray")
 
 
 def parsed(recs: DataFrame) -> DataFrame:
     """The records with their JSON as arrays and structs; text that isn't JSON gives null, and an empty list of calls."""
-    read = lambda c, kind: F.coalesce(F.from_json(c, kind), F.array().cast(kind)).alias(c)
-    rest = [c for c in recs.columns if c not in ("interpretation", "calls", "readings", "decisions")]
-    return recs.select(*rest, F.from_json("interpretation", INTERPRETATION).alias("interpretation"), read("calls", CALLS), read("readings", READINGS), read("decisions", DECISIONS))
+    kinds = {"interpretation": INTERPRETATION, "calls": CALLS, "readings": READINGS, "decisions": DECISIONS}
+    said = recs.withColumnsRenamed({c: f"{c}_text" for c in kinds})
+    read = {c: F.from_json(f"{c}_text", kind) for c, kind in kinds.items()}
+    # a parser for an empty list would cost as much as for a short one
+    read |= {c: F.coalesce(F.when(F.col(f"{c}_text") != "[]", read[c]), F.array().cast(kinds[c])) for c in kinds if c != "interpretation"}
+    return apart(said, **read).drop(*(f"{c}_text" for c in kinds))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(records(spark, sf_dir)).join(golds(spark, sf_dir), "qid").withColumn("final_turn", F.array_max(F.transform("calls", lambda c: c["turn"])))
+    rows = parsed(recorded(T.questions(spark, sf_dir)).drop("trace"))
+    return apart(with_golds(rows), final_turn=F.array_max(F.transform("calls", lambda c: c["turn"])))
 
 
 def _lookup(call_id: Column, field: Column) -> Column:
@@ -130,57 +141,74 @@ def _dev(turn: Column, kind: Column, harmless: Column) -> Column:
     return F.struct(turn.cast("int").alias("turn"), kind.alias("kind"), harmless.alias("harmless"))
 
 
+def _found(devs: Column) -> Column:
+    return F.filter(devs, lambda d: d["kind"].isNotNull())
+
+
 def _exploded(rows: DataFrame, devs: Column) -> DataFrame:
-    return rows.select("qid", F.explode(F.filter(devs, lambda d: d["kind"].isNotNull())).alias("d")).select("qid", "d.turn", "d.kind", "d.harmless")
+    return rows.select("qid", F.explode(_found(devs)).alias("d")).select("qid", "d.turn", "d.kind", "d.harmless")
 
 
 FIELDS = ("target", "region", "filters", "unit")
 
 
-def differences(rows: DataFrame) -> DataFrame:
-    """qid, used, unused: fields of the interpretation that differ, by whether the gold program uses them."""
+def differing(wanted: bool) -> Column:
+    """Fields of the interpretation that differ and that the gold program uses, or doesn't use."""
     a, g = F.col("interpretation"), F.col("gold")
     uses = {"target": F.lit(True), "region": g["region"] != "full", "filters": g["filters"].isNotNull(), "unit": F.lit(False)}
-    pick = lambda wanted: F.array_join(F.array_compact(F.array(*(F.when(~a[f].eqNullSafe(g[f]) & (uses[f] == F.lit(wanted)), f) for f in FIELDS))), ",")
-    return rows.select("qid", pick(True).alias("used"), pick(False).alias("unused"))
+    return F.concat_ws(",", *(F.when(~a[f].eqNullSafe(g[f]) & (uses[f] == F.lit(wanted)), f) for f in FIELDS))
 
 
-def stage1(rows: DataFrame) -> DataFrame:
-    return differences(rows).where("used <> ''").select("qid", F.lit(0).alias("turn"), F.lit("interpretation_mismatch").alias("kind"), F.lit(False).alias("harmless"))
+def differences(rows: DataFrame) -> DataFrame:
+    """qid, used, unused: fields of the interpretation that differ, by whether the gold program uses them."""
+    return rows.select("qid", differing(True).alias("used"), differing(False).alias("unused"))
 
 
-def stage3(rows: DataFrame) -> DataFrame:
+def _stage1() -> Column:
+    return F.array(_dev(F.lit(0), F.when(differing(True) != "", "interpretation_mismatch"), F.lit(False)))
+
+
+def _stage2() -> Column:
+    """The deviations of calls; an extra call whose result nothing names, or that failed, does no harm."""
+    idle = lambda turn: F.exists("calls", lambda c: (c["turn"] == turn) & (c["error"].isNotNull() | ~used_later(c)))
+    missing = lambda d: d["kind"] == "missing_call"
+    one = lambda d: _dev(F.when(missing(d), F.col("final_turn")).otherwise(d["turn"]), F.when(~missing(d) | F.col("has_answer"), d["kind"]), (d["kind"] == "extra_call") & idle(d["turn"]))
+    return F.transform("unmatched", one)
+
+
+def _stage3() -> Column:
     """Readings and decisions that name no result, or another value than the result's."""
 
+    actual = lambda r: _lookup(F.ltrim(r["source"], F.lit("$")), r["field"])
+
     def reading(r: Column) -> Column:
-        call = F.ltrim(r["source"], F.lit("$"))
-        actual = _lookup(call, r["field"])
         path = F.concat(r["source"], F.lit("."), r["field"])
         used = F.exists("decisions", lambda d: d["condition_from"] == path) | F.exists("calls", lambda c: c["arg"] == r["value"]) | (F.col("has_answer") & (F.col("answer_value") == r["value"]))
-        return _dev(r["turn"], F.when(actual.isNull(), "reading_source_missing").when(actual != r["value"], "reading_mismatch"), ~used)
+        return _dev(r["turn"], F.when(actual(r).isNull(), "reading_source_missing").otherwise("reading_mismatch"), ~used)
 
     def decision(d: Column) -> Column:
         path = F.split(F.ltrim(d["condition_from"], F.lit("$")), "\\.")
-        actual = _lookup(F.get(path, F.lit(0)), F.get(path, F.lit(1)))
-        kind = F.when(actual.isNull(), "decision_source_missing").when(actual != d["condition_value"], "decision_value_mismatch")
-        return _dev(d["turn"], kind, actual.isNotNull() & (d["chosen"] == F.col("gold_branch")))
+        value = _lookup(F.get(path, F.lit(0)), F.get(path, F.lit(1)))
+        kind = F.when(value.isNull(), "decision_source_missing").when(value != d["condition_value"], "decision_value_mismatch")
+        return _dev(d["turn"], kind, value.isNotNull() & (d["chosen"] == F.col("gold_branch")))
 
-    return _exploded(rows, F.concat(F.transform("readings", reading), F.when(F.col("has_branch"), F.transform("decisions", decision)).otherwise(F.array())))
+    wrong = F.filter("readings", lambda r: F.coalesce(actual(r) != r["value"], actual(r).isNull()))
+    return F.flatten(F.array(F.transform(wrong, reading), F.when(F.col("has_branch"), F.transform("decisions", decision)).otherwise(F.array().cast(DEVS))))
 
 
-def stage4(rows: DataFrame) -> DataFrame:
+def _stage4() -> Column:
     """The last decision against the branch that the received values give; calls that name a call not made yet."""
     last = F.get("decisions", F.size("decisions") - 1)
     wrong = _dev(last["turn"], F.when(F.col("has_branch") & (last["chosen"] != F.col("gold_branch")), "wrong_branch"), F.lit(False))
 
     def order(c: Column, i: Column) -> Column:
-        named = F.regexp_extract(F.coalesce(c["error"], F.lit("")), "no such call or variable 'c([0-9]+)'", 1)
-        return _dev(c["turn"], F.when((named != "") & (named.cast("int") > i), "order_error"), F.lit(False))
+        named = F.regexp_extract(c["error"], "no such call or variable 'c([0-9]+)'", 1)
+        return _dev(c["turn"], F.when(c["error"].isNotNull(), F.when((named != "") & (named.cast("int") > i), "order_error")), F.lit(False))
 
-    return _exploded(rows, F.concat(F.array(wrong), F.transform("calls", order)))
+    return F.flatten(F.array(F.array(wrong), F.transform("calls", order)))
 
 
-def stage5(rows: DataFrame) -> DataFrame:
+def _stage5() -> Column:
     """Calculations against the gold ones, in their order."""
     calcs = F.filter("calls", lambda c: c["tool"] == "calc")
 
@@ -188,45 +216,68 @@ def stage5(rows: DataFrame) -> DataFrame:
         used = used_later(c) | (F.col("has_answer") & c["error"].isNull() & (c["value"] == F.col("answer_value")))
         extra = i >= F.size("gold_calcs")
         differs = c["error"].isNotNull() | (c["arg"] != F.get("gold_calcs", i))
-        return _dev(c["turn"], F.when(extra, "extra_calc").when(differs, "calc_mismatch"), ~used & (extra | c["error"].isNull()))
+        return _dev(c["turn"], F.when(extra, "extra_calc").when(differs, "calc_mismatch"), F.when(extra | differs, ~used & (extra | c["error"].isNull())))
 
     skipped = _dev(F.col("final_turn"), F.when(F.col("has_answer") & (F.size(calcs) < F.size("gold_calcs")), "calc_skipped"), F.lit(False))
-    return _exploded(rows, F.concat(F.transform(calcs, one), F.array(skipped)))
+    return F.flatten(F.array(F.transform(calcs, one), F.array(skipped)))
 
 
-def stage6(rows: DataFrame) -> DataFrame:
+def _stage6() -> Column:
     right = F.col("answer_value") == F.col("reachable")
     seen = F.exists("calls", lambda c: c["value"] == F.col("reachable")) | F.exists("readings", lambda r: r["value"] == F.col("reachable"))
     kind = F.when(~F.col("format_ok"), "format").when(right & (F.col("answer_unit") != UNIT), "unit").when(~right & seen, "transcription")
-    return _exploded(rows.where("has_answer"), F.array(_dev(F.col("final_turn"), kind, F.lit(False))))
+    return F.array(_dev(F.col("final_turn"), F.when(F.col("has_answer"), kind), F.lit(False)))
 
 
-def stage2(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """The deviations of calls; an extra call whose result nothing names, or that failed, does no harm."""
-    idle = rows.select("qid", F.explode("calls").alias("c"), *(c for c in ("readings", "decisions", "calls", "has_answer", "final_turn"))).select("qid", F.col("c.turn").alias("turn"), (~used_later(F.col("c")) | F.col("c.error").isNotNull()).alias("idle"))
-    found = T.deviations(spark, sf_dir).join(rows.select("qid", "has_answer", "final_turn"), "qid").where("kind <> 'missing_call' or has_answer")
-    found = found.withColumn("turn", F.when(F.col("kind") == "missing_call", F.col("final_turn")).otherwise(F.col("turn")))
-    return found.join(idle, ["qid", "turn"], "left").select("qid", "turn", "kind", ((F.col("kind") == "extra_call") & F.coalesce("idle", F.lit(False))).alias("harmless"))
+STAGES = {1: _stage1, 2: _stage2, 3: _stage3, 4: _stage4, 5: _stage5, 6: _stage6}
+
+
+def stage1(rows: DataFrame) -> DataFrame:
+    return _exploded(rows, _stage1())
+
+
+def stage3(rows: DataFrame) -> DataFrame:
+    return _exploded(rows, _stage3())
+
+
+def stage4(rows: DataFrame) -> DataFrame:
+    return _exploded(rows, _stage4())
+
+
+def stage5(rows: DataFrame) -> DataFrame:
+    return _exploded(rows, _stage5())
+
+
+def stage6(rows: DataFrame) -> DataFrame:
+    return _exploded(rows, _stage6())
+
+
+def weighed(rows: DataFrame) -> DataFrame:
+    """rows with devs (stage, turn, kind, harmless), after the rules that weigh a question's deviations against each other."""
+    rows = T.unmatched(rows, "plan", "calls", "unmatched")
+    staged = lambda k, harmless: lambda d: F.struct((F.lit(k) if k else d["stage"]).alias("stage"), d["turn"].alias("turn"), d["kind"].alias("kind"), harmless(d).alias("harmless"))
+    found = F.flatten(F.array(*(F.transform(_found(part()), staged(k, lambda d: d["harmless"])) for k, part in STAGES.items())))
+    rows = apart(rows, found=found)
+    flag = lambda *stages: F.coalesce(F.exists("found", lambda d: d["stage"].isin(*stages) & ~d["harmless"]), F.lit(False))
+    kept_to = (~F.col("has_branch") | (F.size("decisions") > 0)) & (~F.col("has_answer") | (F.col("answer_unit") == UNIT))
+    rows = apart(rows, off_calls=flag(2), followed=~flag(2, 4) & kept_to)
+    excused = lambda d: d["harmless"] | ((d["stage"] == 1) & F.col("followed")) | ((d["kind"] == "wrong_branch") & ~F.col("off_calls"))
+    rows = apart(rows, excused=F.transform("found", staged(None, excused)))
+    since = F.array_min(F.transform(F.filter("excused", lambda d: (d["kind"] == "wrong_branch") & ~d["harmless"]), lambda d: d["turn"]))
+    rows = apart(rows, since=since)
+    follows = lambda d: d["harmless"] | (d["stage"].isin(2, 5) & F.coalesce(d["turn"] >= F.col("since"), F.lit(False)))
+    return rows.withColumn("devs", F.transform("excused", staged(None, follows))).drop("unmatched", "found", "off_calls", "followed", "excused", "since")
 
 
 def all_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, stage, turn, kind, harmless after the rules that weigh a question's deviations against each other."""
-    rows = runs(spark, sf_dir)
-    found = None
-    for k, part in ((1, stage1(rows)), (2, stage2(spark, sf_dir, rows)), (3, stage3(rows)), (4, stage4(rows)), (5, stage5(rows)), (6, stage6(rows))):
-        one = part.select("qid", F.lit(k).alias("stage"), "turn", "kind", "harmless")
-        found = one if found is None else found.unionByName(one)
-    found = found.join(rows.select("qid", ((~F.col("has_branch") | (F.size("decisions") > 0)) & (~F.col("has_answer") | (F.col("answer_unit") == UNIT))).alias("kept_to")), "qid")
-    by, real = W.partitionBy("qid"), ~F.col("harmless")
-    flag = lambda cond: F.max(cond.cast("int")).over(by) == 1
-    calls, followed = flag(real & (F.col("stage") == 2)), ~flag(real & F.col("stage").isin(2, 4)) & F.col("kept_to")
-    found = found.withColumns({"calls": calls, "followed": followed})
-    harmless = F.col("harmless") | ((F.col("stage") == 1) & F.col("followed")) | ((F.col("kind") == "wrong_branch") & ~F.col("calls"))
-    found = found.withColumn("harmless", harmless)
-    since = F.min(F.when((F.col("kind") == "wrong_branch") & ~F.col("harmless"), F.col("turn"))).over(by)
-    found = found.withColumn("since", since)
-    follows = F.col("stage").isin(2, 5) & F.coalesce(F.col("turn") >= F.col("since"), F.lit(False))
-    return found.select("qid", "stage", "turn", "kind", (F.col("harmless") | follows).alias("harmless"))
+    """qid, stage, turn, kind, harmless."""
+    return weighed(runs(spark, sf_dir)).select("qid", F.explode("devs").alias("d")).select("qid", "d.*")
+
+
+def first_harm(rows: DataFrame) -> DataFrame:
+    """Rows with a deviation that did harm, and d, the earliest of these, by turn, then stage."""
+    harm = F.transform(F.filter("devs", lambda d: ~d["harmless"]), lambda d: F.struct(d["turn"].alias("turn"), d["stage"].alias("stage"), d["kind"].alias("kind")))
+    return apart(weighed(rows), d=F.array_min(harm)).where("d is not null")
 
 
 def _sql() -> str:
@@ -299,8 +350,7 @@ _FIRST = f"{_ALL}, first as (select qid, stage, turn, kind from (select *, row_n
 @query(f"{_FIRST} select qid, stage, turn, kind from first")
 def deviation_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earliest deviation that did harm, by turn, then stage."""
-    first = F.min(F.struct("turn", "stage", "kind")).alias("d")
-    return all_deviations(spark, sf_dir).where("not harmless").groupBy("qid").agg(first).select("qid", "d.stage", "d.turn", "d.kind")
+    return first_harm(runs(spark, sf_dir)).select("qid", "d.stage", "d.turn", "d.kind")
 
 
 @query(f"{_FIRST} select stage, kind, count(*) as n from first group by all")
@@ -311,7 +361,6 @@ def deviation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_FIRST} select f.qid, used, unused, case when has_answer then answer end as answer, coalesce(has_answer and answer = reachable, false) as correct from first f join idiff using (qid) join rec using (qid) where stage = 1")
 def interpretation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs whose first deviation is the interpretation, with the fields that differ."""
-    rows = runs(spark, sf_dir)
     answer = F.when(F.col("has_answer"), F.col("answer_value"))
-    answers = rows.select("qid", answer.alias("answer"), F.coalesce(answer == F.col("reachable"), F.lit(False)).alias("correct"))
-    return deviation_kind(spark, sf_dir).where("stage = 1").select("qid").join(differences(rows), "qid").join(answers, "qid")
+    rows = first_harm(runs(spark, sf_dir)).where("d.stage = 1")
+    return rows.select("qid", differing(True).alias("used"), differing(False).alias("unused"), answer.alias("answer"), F.coalesce(answer == F.col("reachable"), F.lit(False)).alias("correct"))

@@ -1,17 +1,18 @@
 """Recorded calls compared with expected plans: which calls match, what kind of deviation is left, which comes first.
 
 A question's plan calls a tool for each step. The recorded trace is the plan with one edit chosen by hash: a call left
-out, a call made twice, a changed argument, or none. Everything is joins and windows over calls; no trace is folded in
-Python, and a question with very many calls is no larger unit of work than its rows.
+out, a call made twice, a changed argument, or none. A question's calls are arrays of one row, its key is all that is
+shuffled, and what is left unmatched is told by array expressions; no trace is folded in Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
+from tidemark.functions.shared import apart
 from tidemark.operators.perturb import _U
 from tidemark.sources import entities as E
 from tidemark.sources.entities import with_entities
@@ -31,25 +32,50 @@ def query(sql: str):
     return add
 
 
+def _tool(step: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(t) for t in TOOLS)), ((F.col("qid") + step) % 5 + 1).cast("int"))
+
+
+def _arg(step: Column) -> Column:
+    return ((F.col("qid") + 7 * step) % 4).cast("int")
+
+
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, step, tool, arg: two to six calls for each question."""
     i = F.col("image_id")
     steps = E.images(spark, sf_dir).select(i.alias("qid"), F.explode(F.sequence(F.lit(1), (i % 5 + 2).cast("int"))).alias("step"))
-    tool = F.element_at(F.array(*(F.lit(t) for t in TOOLS)), ((F.col("qid") + F.col("step")) % 5 + 1).cast("int"))
-    return steps.select("qid", "step", tool.alias("tool"), ((F.col("qid") + 7 * F.col("step")) % 4).cast("int").alias("arg"))
+    return steps.select("qid", "step", _tool(F.col("step")).alias("tool"), _arg(F.col("step")).alias("arg"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, plan (step, tool, arg) and trace (turn, tool, arg, after the edit) as arrays: one row a question.
+
+    An image that is there several times has each step as often.
+    """
+    # a key is little to shuffle and much to work on, so the number of tasks doesn't follow the bytes
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    images = E.images(spark, sf_dir).select(F.col("image_id").alias("qid")).repartition(tasks, "qid")
+    asked = images.groupBy("qid").agg(F.count("*").cast("int").alias("copies"))
+    asked = apart(asked, edit=G.uniform(F.lit("edit"), F.col("qid")) % 5, at=G.uniform(F.lit("at"), F.col("qid")) % 6 + 1)
+    n = (F.col("qid") % 5 + 2).cast("int")
+    steps = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda s: F.array_repeat(s, F.col("copies"))))
+    plan = F.transform(steps, lambda s: F.struct(s.alias("step"), _tool(s).alias("tool"), _arg(s).alias("arg")))
+    asked = apart(asked.where(n > 0), plan=plan)
+    edit = F.col("edit")
+
+    def edited(p: Column) -> Column:
+        call = lambda tool, arg: F.array(F.struct(p["step"].alias("step"), tool.alias("tool"), arg.alias("arg")))
+        hit = F.when(edit == 1, F.array(p, p)).when(edit == 2, call(p["tool"], p["arg"] + 10)).when(edit == 3, call(F.lit("other"), p["arg"]))
+        return F.when(p["step"] != F.col("at"), F.array(p)).otherwise(F.coalesce(hit, F.slice(F.array(p), 1, 0)))
+
+    calls = F.when((edit == 4) | (F.col("at") > n), F.col("plan")).otherwise(F.flatten(F.transform("plan", edited)))
+    trace = F.transform(calls, lambda c, i: F.struct((i + 1).alias("turn"), c["tool"].alias("tool"), c["arg"].alias("arg")))
+    return asked.select("qid", "plan", trace.alias("trace"))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, turn, tool, arg: the plan's calls after the edit."""
-    p = plans(spark, sf_dir)
-    kind, at = G.uniform(F.lit("edit"), F.col("qid")) % 5, G.uniform(F.lit("at"), F.col("qid")) % 6 + 1
-    e = p.withColumn("kind", kind).withColumn("hit", F.col("step") == at)
-    e = e.where(~((F.col("kind") == 0) & F.col("hit")))
-    e = e.withColumn("arg", F.when((F.col("kind") == 2) & F.col("hit"), F.col("arg") + 10).otherwise(F.col("arg")))
-    e = e.withColumn("tool", F.when((F.col("kind") == 3) & F.col("hit"), "other").otherwise(F.col("tool")))
-    e = e.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when((F.col("kind") == 1) & F.col("hit"), 2).otherwise(1))))
-    turn = F.row_number().over(W.partitionBy("qid").orderBy("step", "copy"))
-    return e.select("qid", turn.alias("turn"), "tool", "arg")
+    return questions(spark, sf_dir).select("qid", F.explode("trace").alias("c")).select("qid", "c.*")
 
 
 _PLANS = f"""{with_entities("images")}, plans as (select qid, step, ['{"', '".join(TOOLS)}'][(qid + step) % 5 + 1] as tool, cast((qid + 7 * step) % 4 as int) as arg from (select image_id as qid, cast(unnest(range(1, image_id % 5 + 3)) as int) as step from images)),
@@ -97,19 +123,42 @@ def call_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_sides(spark, sf_dir).groupBy("qid").agg(F.count_if(s & t).alias("matched"), F.count_if(~t).alias("missing"), F.count_if(~s).alias("extra"))
 
 
+def _left(own: Column, other: Column, field: str) -> Column:
+    """What is left of own, in its order, when each takes one of other that is equal by a field."""
+    same = lambda c: lambda d: d[field] == c[field]
+    return F.filter(own, lambda c, i: c[field].isNull() | (F.size(F.filter(F.slice(own, 1, i + 1), same(c))) > F.size(F.filter(other, same(c)))))
+
+
+def _keys(calls: Column, side: str) -> Column:
+    """A text for each call, the same for equal ones; a call without a tool or an argument equals none."""
+    return F.transform(calls, lambda c, i: F.when(c["tool"].isNotNull() & c["arg"].isNotNull(), F.concat_ws("|", c["arg"].cast("string"), c["tool"])).otherwise(F.concat_ws(" ", F.lit(side), i)))
+
+
+def _ranked(keys: Column) -> Column:
+    """Texts that are there several times are told apart by their rank."""
+    rank = lambda k, i: F.concat_ws(" ", F.size(F.filter(F.slice(keys, 1, i + 1), lambda x: x == k)), k)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.transform(keys, lambda k: F.concat_ws(" ", F.lit(1), k))).otherwise(F.transform(keys, rank))
+
+
+def unmatched(rows: DataFrame, plan: str, trace: str, name: str) -> DataFrame:
+    """rows with an array of turn and kind: a leftover of each side with the same tool is a wrong argument, otherwise any two are a wrong tool."""
+    rows = apart(rows, keys_plan=_keys(F.col(plan), "plan"), keys_trace=_keys(F.col(trace), "trace"))
+    rows = apart(rows, ranked_plan=_ranked(F.col("keys_plan")), ranked_trace=_ranked(F.col("keys_trace")))
+    left = lambda own, other, side: F.filter(own, lambda _, i: ~F.array_contains(other, F.get(f"ranked_{side}", i)))
+    rows = apart(rows, left_plan=left(F.col(plan), F.col("ranked_trace"), "plan"), left_trace=left(F.col(trace), F.col("ranked_plan"), "trace"))
+    m, x = F.col("left_plan"), F.col("left_trace")
+    rows = apart(rows, rest_plan=_left(m, x, "tool"), rest_trace=_left(x, m, "tool"))
+    m, rest = F.size("rest_plan"), F.col("rest_trace")
+    dev = lambda turn, kind: F.struct(turn.cast("int").alias("turn"), kind.alias("kind"))
+    args = F.transform(F.filter(x, lambda c: ~F.exists(rest, lambda r: r["turn"] == c["turn"])), lambda c: dev(c["turn"], F.lit("wrong_args")))
+    tools = F.transform(rest, lambda c, i: dev(c["turn"], F.when(i < m, "wrong_tool").otherwise("extra_call")))
+    calls = F.array_repeat(dev(F.lit(99), F.lit("missing_call")), F.greatest(m - F.size(rest), F.lit(0)))
+    return rows.withColumn(name, F.flatten(F.array(args, tools, calls))).drop(*(f"{x}_{side}" for x in ("keys", "ranked", "left", "rest") for side in ("plan", "trace")))
+
+
 def deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, turn, kind: a leftover of each side with the same tool is a wrong argument, otherwise any two are a wrong tool."""
-    sides = call_sides(spark, sf_dir)
-    rank = lambda by, order, name: F.row_number().over(W.partitionBy(*by).orderBy(order)).alias(name)
-    missing = sides.where("turn is null").select("qid", "tool", "step", rank(("qid", "tool"), "step", "k"))
-    extra = sides.where("step is null").select("qid", "tool", "turn", rank(("qid", "tool"), "turn", "k"))
-    tool = missing.join(extra, ["qid", "tool", "k"], "full_outer")
-    args = tool.where("step is not null and turn is not null").select("qid", "turn", F.lit("wrong_args").alias("kind"))
-    m = tool.where("turn is null").select("qid", "step", rank(("qid",), "step", "j"))
-    x = tool.where("step is null").select("qid", "turn", rank(("qid",), "turn", "j"))
-    rest = m.join(x, ["qid", "j"], "full_outer")
-    kind = F.when(F.col("turn").isNull(), "missing_call").when(F.col("step").isNull(), "extra_call").otherwise("wrong_tool")
-    return args.unionByName(rest.select("qid", F.coalesce("turn", F.lit(99)).alias("turn"), kind.alias("kind")))
+    """qid, turn, kind of what is left unmatched."""
+    return unmatched(questions(spark, sf_dir), "plan", "trace", "devs").select("qid", F.explode("devs").alias("d")).select("qid", "d.*")
 
 
 _DEV = f"""{_SIDES}, mi as (select qid, tool, step, row_number() over (partition by qid, tool order by step) as k from sides where turn is null), ex as (select qid, tool, turn, row_number() over (partition by qid, tool order by turn) as k from sides where step is null),
