@@ -54,7 +54,7 @@ def query(sql: str):
 
 def branches() -> dict:
     """The branch that a template takes on an image, by the columns of templates.wide."""
-    noisy = T._of_quadrant("n", T._NOISY())
+    noisy = T._at_largest("n", "noise")
     inshore = F.col("scene") == "inshore"
     return {
         "l4_scene_branch": inshore, "l4_count_branch": F.col("n_boxes") >= T.BRANCH_BOXES, "l4_quadrant_branch": F.col(f"n_{G.QUADRANTS[0]}") >= T.BRANCH_QUADRANT, "l4_maxlen_branch": F.col("max_side") >= 55,
