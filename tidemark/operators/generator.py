@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as G
 from tidemark.functions.shared import cut, filed, once
-from tidemark.operators import answers
+from tidemark.operators import answers, reference, tools
 from tidemark.operators import templates as T
 from tidemark.sources import entities as E
 
@@ -62,12 +62,24 @@ def branches() -> dict:
     }
 
 
+def _eligible(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    """The split's images with a fitting number of boxes, written."""
+    many = E.raw_boxes(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("many")).where(F.col("many").between(FEWEST, MOST))
+    return filed(E.images(spark, sf_dir).where(F.col("split") == split).join(many.select("image_id"), "image_id", "left_semi"))
+
+
 def candidates(spark: SparkSession, sf_dir: str, split: str = SPLIT) -> DataFrame:
     """template, level, answer_type, image_id, scene_group, gold_num, gold_cat, balance, zero, pri: the templates that an eligible image answers.
 
-    balance is what must not be equal too often: the branch where there is one, else the answer.
+    balance is what must not be equal too often: the branch where there is one, else the answer. Answers are told for eligible images alone.
     """
-    wide = T.wide(spark, sf_dir).where((F.col("split") == split) & F.col("n_boxes").between(FEWEST, MOST))
+    images = once(spark, sf_dir, _eligible, split)
+    boxes = E.labels(spark, sf_dir).join(images.select("image_id"), "image_id", "left_semi")
+    if boxes.where(" or ".join(f"{c} is null" for c in reference.BOX)).isEmpty():
+        wide = reference._wide(boxes.withColumn("of", F.lit(1)), tools.with_stats(images, E.table(spark, sf_dir, "embeddings")), 1)
+    else:
+        # boxes without a place go by the tools that take them
+        wide = T.wide(spark, sf_dir, boxes).join(images.select("image_id"), "image_id", "left_semi")
     took = branches()
 
     def one(t, level, kind):
@@ -198,7 +210,8 @@ def generation_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the whole set may have at most, and has."""
     g = generate(spark, sf_dir)
     most = lambda *key: g.groupBy(*key).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("found"))
-    groups = candidates(spark, sf_dir).select("scene_group").distinct().count()
+    # every eligible image answers how many boxes it has, so the candidates' groups are theirs
+    groups = once(spark, sf_dir, _eligible, SPLIT).select("scene_group").distinct().count()
     parts = {
         "most of an image": (most("image_id"), PER_IMAGE), "most of a group": (most("scene_group"), group_cap(QUOTAS, groups)), "questions": (g.agg(F.count("*").alias("found")), sum(QUOTAS.values())),
         "asked twice": (g.groupBy("template", "image_id").count().where("count > 1").agg(F.count("*").alias("found")), 0),
